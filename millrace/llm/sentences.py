@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.codepoints import Hashes, decode, mix, row_of, scripts, sliced, spaces, table
 from millrace.llm.maxent import MaxEnt, hashed
@@ -268,7 +269,7 @@ def with_units(df: DataFrame, text: str, model: MaxEnt, keep: list[str]) -> Data
     Null and blank texts have no unit. Positions are 0-based code points, end exclusive.
     """
     wanted = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = wanted.drop("__text").schema.add("starts", "array<int>").add("ends", "array<int>")
+    schema = wanted.drop("__text").schema.add("starts", T.ArrayType(T.IntegerType())).add("ends", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text"):
