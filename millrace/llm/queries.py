@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import sentences
+from millrace.llm import encodings, sentences
 from millrace.session import table
 
 
@@ -15,8 +15,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "kb_chunk"), "chunk_id", "chunk_text")
 
 
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.garbled_paragraphs(table(spark, folder, "source_document"), "doc_id", "paragraphs")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_restored(spark, folder).select("doc_id", "para_no").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
 }
 
 SQL: dict[str, str] = {}
