@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, sentences
+from millrace.llm import encodings, lookalikes, sentences
 from millrace.session import table
 
 
@@ -23,10 +23,29 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_restored(spark, folder).select("doc_id", "para_no").distinct()
 
 
+def p6_one_form(spark: SparkSession, folder: str) -> DataFrame:
+    """Every title and chunk text in its one form. Repeated rows count once."""
+    parts = [
+        lookalikes.one_form(table(spark, folder, name), text, [key]).select(F.lit(text).alias("field_name"), F.col(key).alias("record_id"), "text", "changed")
+        for name, key, text in (("source_document", "doc_id", "title"), ("kb_chunk", "chunk_id", "chunk_text"))
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [
+        lookalikes.one_form(table(spark, folder, name), text, [key]).where("changed").select(F.lit(text).alias("field_name"), F.col(key).alias("record_id"))
+        for name, key, text in (("source_document", "doc_id", "title"), ("kb_chunk", "chunk_id", "chunk_text"))
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p6_found": p6_found,
+    "p6_one_form": p6_one_form,
 }
 
 SQL: dict[str, str] = {}
