@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.codepoints import TOP, decode, encode, row_of, sliced, table
 
@@ -94,7 +95,6 @@ def normalise(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     special = np.flatnonzero((to != points) | (many >= 0) | t["foreign"][points] | t["mark"][points])
     if not len(special):
         return points, offsets, np.zeros(rows, bool)
-    touched = np.unique(np.searchsorted(offsets, special, "right") - 1)
     changed = np.zeros(rows, bool)
     # joiners that a script needs: between letters of it
     joiner = special[(points[special] == 0x200C) | (points[special] == 0x200D)]
@@ -162,14 +162,13 @@ def normalise(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         before = np.zeros(len(out) + 1, np.int64)
         np.cumsum(keep, out=before[1:])
         out, offsets = out[keep], before[offsets]
-    del touched
     return out, offsets, changed
 
 
 def one_form(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     """``key``, the text in its one form (``text``) and whether it was stored otherwise (``changed``). Null stays null and unchanged."""
     wanted = df.select(*key, F.col(text).cast("string").alias("text"))
-    schema = wanted.schema.add("changed", "boolean")
+    schema = T.StructType([*wanted.schema.fields, T.StructField("changed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
