@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, lookalikes, sentences
+from millrace.llm import encodings, lookalikes, quality, sentences
 from millrace.session import table
 
 
@@ -40,12 +40,23 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    words = [r[0] for r in table(spark, folder, "common_word").select("word").distinct().collect()]  # a dictionary of fixed size
+    return quality.statistics(table(spark, folder, "documents"), "doc_id", "text", words)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_statistics(spark, folder).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p6_found": p6_found,
     "p6_one_form": p6_one_form,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
 }
 
 SQL: dict[str, str] = {}
