@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, lookalikes, quality, sentences
+from millrace.llm import encodings, leaks, lookalikes, mixing, quality, sentences
 from millrace.session import table
 
 
@@ -40,6 +40,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+
+
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     words = [r[0] for r in table(spark, folder, "common_word").select("word").distinct().collect()]  # a dictionary of fixed size
     return quality.statistics(table(spark, folder, "documents"), "doc_id", "text", words)
@@ -55,6 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_restored": p3_restored,
     "p6_found": p6_found,
     "p6_one_form": p6_one_form,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }
