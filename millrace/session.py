@@ -22,15 +22,19 @@ def local_session(name: str = "millrace", cores: str = "*", **conf: str) -> Spar
     return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for all executors; one of our own only where it names none, as in tests."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the folder that all executors share, so that a lost executor loses nothing and later plans do not repeat the work."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:  # only where no cluster has named one, as in tests
-            shared = tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
-        context.setCheckpointDir(shared)
+    """The rows written to the shared folder, so that a lost executor loses nothing and later plans do not repeat the work."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
