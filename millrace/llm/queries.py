@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, leaks, lookalikes, mixing, quality, sentences
+from millrace.llm import encodings, leaks, lookalikes, mixing, neardup, quality, sentences
 from millrace.session import table
 
 
@@ -23,6 +23,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_restored(spark, folder).select("doc_id", "para_no").distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [
+        neardup.near_duplicates(table(spark, folder, name), key, text).select(F.lit(text).alias("field_name"), "id_a", "id_b")
+        for name, key, text in (("source_document", "doc_id", "raw_text"), ("kb_chunk", "chunk_id", "chunk_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_one_form(spark: SparkSession, folder: str) -> DataFrame:
     """Every title and chunk text in its one form. Repeated rows count once."""
     parts = [
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_one_form": p6_one_form,
     "p7_found": p7_found,
