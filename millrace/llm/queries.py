@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encodings, leaks, lookalikes, mixing, neardup, quality, sentences
+from millrace.llm import encodings, leaks, lookalikes, mixing, neardup, quality, sentences, splitting
 from millrace.session import table
 
 
@@ -23,6 +23,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_restored(spark, folder).select("doc_id", "para_no").distinct()
 
 
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "kb_chunk")
+    items = splitting.chunk_items(chunks).unionByName(splitting.paragraph_items(table(spark, folder, "source_document")))
+    return splitting.split(items, sentences.train(chunks, "chunk_id", "chunk_text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pieces(spark, folder).select("field_name", "record_id", "item_no", "forced").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         neardup.near_duplicates(table(spark, folder, name), key, text).select(F.lit(text).alias("field_name"), "id_a", "id_b")
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_one_form": p6_one_form,
