@@ -80,7 +80,7 @@ def _packed(parts: Column, most: int) -> Column:
 
 def sentences(c: Column, most: int = MAX_SENTENCE) -> Column:
     """Sentence-like units: by line and end mark; a unit longer than ``most`` by structural markers, else by clauses; very short ones join the one before. Null gives null, blank text none."""
-    text = F.regexp_replace(F.replace(c, F.lit("　"), F.lit(" ")), "\r\n?", "\n")
+    text = F.regexp_replace(F.replace(c, F.lit("\u3000"), F.lit(" ")), "\r\n?", "\n")
     text = trimmed(F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n+[ \t]*", "\n"), r"[\t\r\f\x0B ]+", " "))
     coarse = F.flatten(F.transform(F.split(text, "\n"), lambda line: _cleaned(F.split(trimmed(line), SENTENCE_END))))
 
@@ -121,7 +121,7 @@ def heading_title(c: Column) -> Column:
 def paragraphs(c: Column, markdown: Column | bool = False) -> Column:
     """Paragraphs of a raw text: blank lines separate them, lines are trimmed; in markdown a heading stands alone."""
     markdown = F.lit(markdown) if isinstance(markdown, bool) else markdown
-    lines = F.transform(F.split(c, "\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"), trimmed)
+    lines = F.transform(F.split(c, "\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"), trimmed)
     none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s: Column, x: Column) -> Column:

@@ -1,23 +1,25 @@
-"""The lexical index: postings, term and corpus statistics as tables."""
+"""The lexical index: texts with their terms, postings, term and corpus statistics as tables."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import tokens
 
 
 @dataclass
 class LexicalIndex:
-    """postings (term, id, length), term_stats (term, df) and a one-row corpus (n, avgdl).
+    """texts (id, length, terms), postings (term, id, length), term_stats (term, df) and a one-row corpus (n, avgdl).
 
     Terms of a text are distinct, so each posting has frequency 1 and a text's length is its number
     of distinct terms. Texts without a term count in n and in the average.
     """
 
+    texts: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
@@ -25,22 +27,22 @@ class LexicalIndex:
     def save(self, path: str, buckets: int = 64) -> None:
         """Written for reuse; the postings are ordered by term, so a reader can skip row groups without the query's terms."""
         self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        for name in ("texts", "term_stats", "corpus"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus")))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("texts", "postings", "term_stats", "corpus")))
 
 
 def build(texts: DataFrame, key: str, column: str | Column) -> LexicalIndex:
-    """texts: one row per key. Null texts have no terms."""
+    """texts: one row per key. Null texts have no terms. The tokenised texts are kept, in memory or on disk, as every table of the index is made from them; lost parts are made again."""
     column = F.col(column) if isinstance(column, str) else column
-    tokens = texts.select(F.col(key).alias("id"), F.coalesce(text.terms(column), F.array().cast("array<string>")).alias("terms"))
-    sized = tokens.select("id", F.size("terms").alias("length"), "terms")
-    postings = sized.select("id", "length", F.explode("terms").alias("term"))
+    sized = tokens.with_terms(texts, key, column).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = sized.select(F.explode("terms").alias("term"), "id", "length")
     return LexicalIndex(
-        postings.select("term", "id", "length"),
+        sized,
+        postings,
         postings.groupBy("term").agg(F.count("*").alias("df")),
         sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl")),
     )

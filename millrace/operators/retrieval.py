@@ -44,11 +44,10 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _with_terms(top: DataFrame, found: DataFrame) -> DataFrame:
-    """The matched terms in query order, gathered for the top rows only."""
-    kept = found.join(top.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    lists = kept.groupBy("query_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]).alias("match_terms"))
-    return top.join(lists, ["query_id", "id"])
+def _with_terms(top: DataFrame, index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """The matched terms in query order, for the top rows only."""
+    asked = queries.select("query_id", text.terms(F.col("query")).alias("q"))
+    return top.join(asked, "query_id").join(index.texts.select("id", "terms"), "id").withColumn("match_terms", F.array_intersect("q", "terms"))
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -58,7 +57,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFrame
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / average) + EPSILON)
     top = _top(found.groupBy("query_id", "id").agg(F.sum(weight).alias("score")), max(k, 0))
-    return _with_terms(top, found).select("query_id", "id", "score", "rank", "match_terms")
+    return _with_terms(top, index, queries).select("query_id", "id", "score", "rank", "match_terms")
 
 
 def tfidf(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFrame | None = None) -> DataFrame:
@@ -71,4 +70,4 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFram
     own, asked = idf / F.greatest("length", F.lit(1)), idf / F.col("n_terms")
     sums = found.groupBy("query_id", "id").agg(F.sum(own * asked).alias("dot"), F.sqrt(F.sum(own * own)).alias("own"))
     scored = sums.join(norms, "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("own")))
-    return _with_terms(_top(scored, max(k, 0)), found).select("query_id", "id", "score", "rank", "match_terms")
+    return _with_terms(_top(scored, max(k, 0)), index, queries).select("query_id", "id", "score", "rank", "match_terms")

@@ -54,7 +54,7 @@ def plain(text: str) -> str:
     """Compatibility forms unified, invisible characters and layout breaks within words removed."""
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
-        text = re.sub(r"[​-‏⁠﻿­︀-️]", "", text).translate(_LOOKALIKES)
+        text = re.sub("[\u200b-\u200f\u2060\ufeff\u00ad\ufe00-\ufe0f]", "", text).translate(_LOOKALIKES)
         text = re.sub(r"(?<=[^\x00-\x7f])\n(?!\n)|\n(?=[^\x00-\x7f\n])(?<!\n\n)", "", text)
     return re.sub(r"(?<!\n)\n(?!\n)", " ", text)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import text, tokens
 from millrace.operators import chunking, evidence, extraction, index, normalize, retrieval, session, units
 from millrace.plans.ask import Engine
 from millrace.session import table
@@ -33,8 +33,8 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = documents(spark, folder).select("doc_id", text.terms(F.col("text")).alias("t")).where("t is not null")
-    return rows.select("doc_id", F.size("t").alias("n_terms"), F.aggregate("t", F.lit(0), lambda a, x: a + F.char_length(x)).alias("term_chars"))
+    rows = tokens.with_terms(documents(spark, folder).where("text is not null"), "doc_id", F.col("text"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("length").alias("n_terms"), F.char_length(F.array_join("terms", "")).alias("term_chars"))
 
 
 def _index(spark: SparkSession, folder: str) -> index.LexicalIndex:

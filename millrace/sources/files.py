@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -30,11 +31,17 @@ Parser = Callable[[bytes, str], Parsed]
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, relative (to root), length, content of every file. The content is only read where a later step uses it."""
+    """path, relative (to root), length, content of every file. The content is only read where a later step uses it.
+
+    The reader leaves out files without a byte; they are added from the listing that it holds anyway.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = root.rstrip("/").removeprefix("file:")
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return found.select(path.alias("path"), "length", "content").withColumn("relative", F.expr(f"substring(path, {len(base) + 2})"))
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    rows = found.select(bare(F.col("path")).alias("path"), "length", "content")
+    listed = spark.createDataFrame([(unquote(p),) for p in found.inputFiles()], "path string").select(bare(F.col("path")).alias("path"))
+    empty = listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return rows.unionByName(empty).withColumn("relative", F.expr(f"substring(path, {len(base) + 2})"))
 
 
 def file_type(path: Column) -> Column:
