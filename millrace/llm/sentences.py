@@ -41,7 +41,7 @@ def tables() -> dict[str, np.ndarray]:
     upper = table(*(c for c in range(0x2000) if chr(c).isupper()))
     return {
         "space": spaces(),
-        "line": table("\n\x0b\x0c\x85  "),
+        "line": table("\n\x0b\x0c\x85\u2028\u2029"),
         "dot": table(".．"),
         "hard": table("。｡！？!?।॥؟۔‼⁇⁈⁉"),
         "open": table("“‘「『（(《〈【〔[{„«｢"),
