@@ -80,6 +80,16 @@ def term_lists(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(lists), terms)
 
 
+def terms(column: Column) -> Column:
+    """The terms of a column in Arrow batches; null texts have none."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        return term_lists(texts)
+
+    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # they say that it is a scalar function
+    return F.arrow_udf(of, T.ArrayType(T.StringType()))(column)
+
+
 def with_terms(df: DataFrame, key: str, column: Column) -> DataFrame:
     """id, length (number of distinct terms) and terms of each row."""
     wanted = df.select(F.col(key).alias("id"), column.cast("string").alias("__text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import text, tokens
 
 #: Wordings of general introductions.
 GENERIC_SENTENCE = "为贯彻|根据|依据|现将|如下|通知如下|有关事项|工作要求"
@@ -34,11 +34,11 @@ def rank_sentences(queries: DataFrame, hits: DataFrame, chunks: DataFrame, top_c
     queries: query_id, query. hits: query_id, id, score, rank. chunks: chunk_id, doc_id,
     chunk_text, source_title, section_title. Sentences that share no term with the query drop out.
     """
-    asked = queries.select("query_id", text.terms(F.col("query")).alias("q"))
+    asked = queries.select("query_id", tokens.terms(F.col("query")).alias("q"))
     near = hits.where(F.col("rank") <= top_chunks).select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("retrieval_score"), F.col("rank").alias("retrieval_rank"))
     pieces = near.join(chunks.select("chunk_id", "doc_id", "chunk_text", "source_title", "section_title"), "chunk_id").join(asked, "query_id")
     rows = pieces.select("*", F.posexplode(text.sentences(F.col("chunk_text"))).alias("sentence_no", "sentence")).drop("chunk_text")
-    rows = rows.withColumn("s", text.terms(F.col("sentence")))
+    rows = rows.withColumn("s", tokens.terms(F.col("sentence")))
     rows = rows.withColumn("matched_terms", F.array_intersect("q", "s")).withColumn("overlap", F.size("matched_terms")).where("overlap > 0")
     rows = rows.withColumn("coverage", F.col("overlap") / F.greatest(F.size("q"), F.lit(1)))
     rows = rows.withColumn("jaccard", F.col("overlap") / F.size(F.array_union("q", "s"))).withColumn("lexical_density", F.col("overlap") / F.greatest(F.size("s"), F.lit(1)))
@@ -73,8 +73,8 @@ def select(ranked: DataFrame, most: int = 2) -> DataFrame:
 
 def confidence(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row per query: confidence, label, warning, reasons, matched_terms, coverage, best_sentence_overlap, generic_hits. A query without terms or evidence keeps a row; its last four columns are null."""
-    asked = queries.select("query_id", text.terms(F.col("query")).alias("q"))
-    own = evidence.join(asked, "query_id").withColumn("m", F.array_intersect("q", text.terms(F.col("evidence_text")))).withColumn("generic", ((F.size("m") <= 2) & F.col("evidence_text").rlike(GENERIC_INTRODUCTION)).cast("int"))
+    asked = queries.select("query_id", tokens.terms(F.col("query")).alias("q"))
+    own = evidence.join(asked, "query_id").withColumn("m", F.array_intersect("q", tokens.terms(F.col("evidence_text")))).withColumn("generic", ((F.size("m") <= 2) & F.col("evidence_text").rlike(GENERIC_INTRODUCTION)).cast("int"))
     sums = own.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))).alias("matched_terms"), F.avg("confidence").alias("average"), F.max(F.size("m")).alias("best"), F.sum("generic").alias("generic_hits"), F.count("*").alias("n"))
     rows = asked.join(sums, "query_id", "left")
     coverage = F.size("matched_terms") / F.greatest(F.size("q"), F.lit(1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import tokens
 from millrace.operators.index import LexicalIndex
 
 K1, B, EPSILON = 1.5, 0.75, 1e-9
@@ -20,8 +20,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, region, term, place of the term in the query, number of terms. queries: query_id, query and, if wanted, region."""
     if "region" not in queries.columns:
         queries = queries.withColumn("region", F.lit(None).cast("string"))
-    tokens = queries.select("query_id", "region", text.terms(F.col("query")).alias("terms"))
-    return tokens.select("query_id", "region", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("place", "term"))
+    listed = queries.select("query_id", "region", tokens.terms(F.col("query")).alias("terms"))
+    return listed.select("query_id", "region", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("place", "term"))
 
 
 def _matches(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 def _with_terms(top: DataFrame, index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """The matched terms in query order, for the top rows only."""
-    asked = queries.select("query_id", text.terms(F.col("query")).alias("q"))
+    asked = queries.select("query_id", tokens.terms(F.col("query")).alias("q"))
     return top.join(asked, "query_id").join(index.texts.select("id", "terms"), "id").withColumn("match_terms", F.array_intersect("q", "terms"))
 
 
