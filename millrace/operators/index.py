@@ -50,4 +50,4 @@ def build(texts: DataFrame, key: str, column: str | Column) -> LexicalIndex:
 
 def summary(index: LexicalIndex) -> DataFrame:
     """One row: chunk_count, average_document_length (4 decimals), vocabulary_size."""
-    return index.corpus.select(F.col("n").alias("chunk_count"), F.round("avgdl", 4).alias("average_document_length")).crossJoin(index.term_stats.agg(F.count("*").alias("vocabulary_size")))  # one row each
+    return index.corpus.select(F.col("n").alias("chunk_count"), F.round("avgdl", 4).alias("average_document_length"), F.lit(index.term_stats.count()).alias("vocabulary_size"))

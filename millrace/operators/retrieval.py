@@ -28,8 +28,13 @@ def _matches(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
     """Postings of the queries' terms with their statistics. The statistics are those of the whole corpus, whatever region a query asks for."""
     known = wanted.join(index.term_stats, "term")
     few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    found = index.postings.join(F.broadcast(known) if few else known, "term")
-    return found.crossJoin(F.broadcast(index.corpus))  # one row
+    return _with_corpus(index.postings.join(F.broadcast(known) if few else known, "term"), index)
+
+
+def _with_corpus(rows: DataFrame, index: LexicalIndex) -> DataFrame:
+    """The two numbers of the corpus as literals."""
+    corpus = index.corpus.first()
+    return rows.withColumns({"n": F.lit(corpus.n), "avgdl": F.lit(corpus.avgdl)})
 
 
 def _in_region(found: DataFrame, regions: DataFrame | None) -> DataFrame:
@@ -64,7 +69,7 @@ def tfidf(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFram
     """As bm25. The norm of a text is that of the terms it shares with the query; the norm of the query is over all its terms, known or not."""
     wanted = query_terms(queries)
     idf = F.log(1 + (F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weights = wanted.join(index.term_stats, "term", "left").crossJoin(F.broadcast(index.corpus)).withColumn("w", idf / F.col("n_terms"))
+    weights = _with_corpus(wanted.join(index.term_stats, "term", "left"), index).withColumn("w", idf / F.col("n_terms"))
     norms = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     found = _in_region(_matches(index, wanted), regions)
     own, asked = idf / F.greatest("length", F.lit(1)), idf / F.col("n_terms")

@@ -59,8 +59,7 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def bm25_region_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    own = docs.agg(F.max(F.upper("region")).alias("region"))
-    asked = questions(spark, folder).crossJoin(F.broadcast(own))  # one row
+    asked = questions(spark, folder).withColumn("region", F.lit(docs.agg(F.max(F.upper("region"))).first()[0]))
     return _scored(retrieval.bm25(_index(spark, folder), asked, 5, docs.select(F.col("doc_id").alias("id"), "region")))
 
 
