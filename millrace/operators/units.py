@@ -41,13 +41,13 @@ MONEY_RE = rf"(?P<cur>{PREFIX})?\s*(?P<a>{NUMBER})\s*(?P<am>[十百千佰仟](?=
 LIMIT_HINT = r"(?:最高可贷|最高可借|最高贷款|(?:额度|金额|授信|单户|单笔|贷款|借款)(?:的)?(?:上限|限额)(?:为|是|:|：)?|上限为|额度最高|额度为|(?:金额|额度)(?:不得?超过|不高于|最多|控制在)|可申请|capped at|draw up to|borrow up to|maximum loan(?: amount)? (?:is|of)|ceiling (?:for|on) [^.;。]{1,60}? is)"
 TERM_HINT = r"(?:(?<!保存)(?<!公示)(?<!保管)(?<!存放)(?<!办理)期限(?:最长|最多|一般|控制|不得?超过|不超过|设定)?(?:为|在|不得?超过|不超过|是|:|：)?|loan runs for|runs for|(?:loan )?term of|repayable (?:over|within))"
 YEARS = rf"(?P<years>{NUMBER})\s*(?:周年|年)(?:(?P<half>半)|(?:\s*[零又]?\s*(?P<plus>{NUMBER})\s*个?月))?"
-TERM_RE = rf"(?:{YEARS}|(?P<onlyhalf>半年)|(?P<number>{NUMBER})\s*(?P<ch>个?季度|个?月|天|日)|(?P<word>{WORD_NUMBER})[\s\-]*(?P<en>years?|yrs?|months?|mos?|quarters?|days?)\b(?P<andhalf> and a half)?(?:\s*(?:and|,)?\s*(?P<word2>{WORD_NUMBER})[\s\-]*(?P<en2>months?|days?)\b)?|(?P<halfyear>half a year))"
+TERM_RE = rf"(?:{YEARS}|(?P<onlyhalf>半年)|(?P<number>{NUMBER})\s*(?P<ch>个?季度|个?月|天|日)|(?P<word>{WORD_NUMBER})[ \-]*(?P<en>years?|yrs?|months?|mos?|quarters?|days?)\b(?P<andhalf> and a half)?(?:\s*(?:and|,)?\s*(?P<word2>{WORD_NUMBER})[ \-]*(?P<en2>months?|days?)\b)?|(?P<halfyear>half a year))"
 
 
 @lru_cache(1)
 def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    flags = re.IGNORECASE
-    return re.compile(LIMIT_HINT + r"\s*" + MONEY_RE, flags), re.compile(TERM_HINT + r"\s*" + TERM_RE, flags), re.compile(r"\s*over\s+" + TERM_RE, flags)
+    built = (LIMIT_HINT + r"\s*" + MONEY_RE, TERM_HINT + r"\s*" + TERM_RE, r"\s*over\s+" + TERM_RE)
+    return tuple(re.compile(p.replace(r"\s", r"[^\S\n]"), re.IGNORECASE) for p in built)  # a statement never crosses a paragraph
 
 
 def plain(text: str) -> str:
@@ -111,7 +111,7 @@ def _money(m: re.Match) -> tuple[float, float, str] | None:
 def _months(m: re.Match) -> tuple[float, float, str] | None:
     if m["years"]:
         years = number(m["years"])
-        return None if years is None else (years * 12 + (6 if m["half"] else 0) + (number(m["plus"]) or 0), years, "year")
+        return None if years is None or years > 100 else (years * 12 + (6 if m["half"] else 0) + (number(m["plus"]) or 0), years, "year")
     if m["onlyhalf"] or m["halfyear"]:
         return 6.0, 0.5, "year"
     if m["number"]:

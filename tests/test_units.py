@@ -21,6 +21,9 @@ from millrace.operators.forest import Forest
         ("the maximum loan is CNY 5 million over 720 days", [("amount", 5000000), ("term", 24)]),
         ("The ceiling for lotus growers is RMB 2000k and the loan runs for ten years.", [("amount", 2000000), ("term", 120)]),
         ("注册资本不低于462万元且正常经营满3年，每亩给予376元补助，保存期限5年，户均缺口42.00万元", []),
+        ("## 贷款期限\n\n2023年1月24日起试行", []),
+        ("贷款期限2023年", []),
+        ("the loan runs for\neighteen months and the loan term of a year", [("term", 18), ("term", 12)]),
         ("", []),
         (None, []),
     ],
