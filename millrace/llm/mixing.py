@@ -32,7 +32,7 @@ from millrace.session import checkpointed
 VOCABULARIES, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public split pattern of byte-level BPE of this kind.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 1024
+BUCKETS, PER_BUCKET = 1024, 1_000_000
 #: Rows of a mix that the driver plans; a mix names its sources one by one.
 MOST_TARGETS = 100_000
 #: Source name -> knots (place in training from 0 to 1, factor on the source's weight). The others have a flat schedule.
@@ -122,9 +122,10 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     sizes = sizes if sizes is not None else checkpointed(sized(docs, key, text, source))
+    corpus, rows = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    buckets = max(BUCKETS, rows // PER_BUCKET)  # so that a bucket of the largest source stays small
     spread = sizes.where("source is not null and tokens > 0").withColumn("h", F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 62)))
-    spread = spread.withColumn("bucket", (F.col("h") / F.lit((1 << 62) // BUCKETS)).cast("int"))
-    corpus = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    spread = spread.withColumn("bucket", F.expr(f"h div {-(-(1 << 62) // buckets)}").cast("int"))
     names = targets.select("mix_id", canonical("source").alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("double"), F.col("budget_share").cast("double")).where("source is not null")
     wanted = names.limit(MOST_TARGETS + 1).toPandas()
     if len(wanted) > MOST_TARGETS:
@@ -133,9 +134,9 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     sums = named.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
     totals = {r.source: int(r.tokens) for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # at most MOST_TARGETS rows
     decided = plan(totals, int(corpus), wanted)
-    starts = sums.withColumn("start", F.sum("tokens").over(W.partitionBy("source").orderBy("bucket")) - F.col("tokens")).select("source", "bucket", "start")  # BUCKETS rows per source
+    starts = sums.withColumn("start", F.sum("tokens").over(W.partitionBy("source").orderBy("bucket")) - F.col("tokens")).select("source", "bucket", "start")  # a row per bucket and source
     inner = W.partitionBy("source", "bucket").orderBy("h", key)
-    placed = named.join(F.broadcast(starts) if len(totals) * BUCKETS < 1_000_000 else starts, ["source", "bucket"]).withColumn("before", F.col("start") + F.sum("tokens").over(inner) - F.col("tokens"))
+    placed = named.join(F.broadcast(starts) if len(totals) * buckets < 1_000_000 else starts, ["source", "bucket"]).withColumn("before", F.col("start") + F.sum("tokens").over(inner) - F.col("tokens"))
     curves = []
     for mix_id, rows in decided[decided.demand > 0].groupby("mix_id"):
         curve = inverse_schedule(rows, (schedules or {}).get(int(mix_id), {}))
