@@ -24,9 +24,10 @@ class LexicalIndex:
     term_stats: DataFrame
     corpus: DataFrame
 
-    def save(self, path: str, buckets: int = 64) -> None:
+    def save(self, path: str, buckets: int | None = None) -> None:
         """Written for reuse; the postings are ordered by term, so a reader can skip row groups without the query's terms."""
-        self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        ranged = self.postings.repartitionByRange(*([buckets] if buckets else []), "term")
+        ranged.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         for name in ("texts", "term_stats", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 

@@ -38,10 +38,20 @@ def turn_slots(turns: DataFrame, query: str = "query", evidence: str | None = "e
     return turns.withColumns(slots)
 
 
-def carried(turns: DataFrame, session: str = "session_id", turn: str = "turn") -> DataFrame:
-    """Each slot's last stated value up to and with each turn."""
-    window = W.partitionBy(session).orderBy(turn).rowsBetween(W.unboundedPreceding, 0)
-    return turns.withColumns({s: F.last(s, ignorenulls=True).over(window) for s in SLOTS})
+def carried(turns: DataFrame, session: str = "session_id", turn: str = "turn", block: int = 10_000) -> DataFrame:
+    """Each slot's last stated value up to and with each turn.
+
+    A session is carried in blocks of ``block`` turns, and what a block begins with comes from a
+    summary of the blocks before it, so no task holds a whole long session.
+    """
+    key = [session, "__block"]
+    rows = turns.withColumn("__block", F.floor(F.col(turn).cast("double") / block))
+    ends = rows.groupBy(*key).agg(*(F.max_by(s, F.when(F.col(s).isNotNull(), F.col(turn))).alias(s) for s in SLOTS))
+    before = W.partitionBy(session).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    begins = ends.select(*key, *(F.last(s, ignorenulls=True).over(before).alias(f"__{s}") for s in SLOTS))
+    within = W.partitionBy(*key).orderBy(turn).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(begins, key, "left").withColumns({s: F.coalesce(F.last(s, ignorenulls=True).over(within), F.col(f"__{s}")) for s in SLOTS})
+    return out.select(*turns.columns)
 
 
 def latest(turns: DataFrame, session: str = "session_id", turn: str = "turn") -> DataFrame:

@@ -20,7 +20,7 @@ class Ingested:
 
 
 def ingest(spark: SparkSession, root: str, output: str, recursive: bool = True, size: int = 800, overlap: int = 100, parsers: dict[str, files.Parser] | None = None) -> Ingested:
-    """All files under ``root`` to tables under ``output``: manifest, documents, chunks, kb_chunks (Parquet and JSON lines) and report. Documents and chunks are written once and read back, so no file is parsed twice."""
+    """All files under ``root`` to tables under ``output``: manifest, documents, chunks, kb_chunks (Parquet and JSON lines), report and errors. Documents and chunks are written once and read back, so no file is parsed twice."""
     shared_folder(spark)
     listed = files.manifest(files.scan(spark, root, recursive))
     files.parse(listed, parsers).write.mode("overwrite").parquet(f"{output}/documents")
@@ -29,5 +29,6 @@ def ingest(spark: SparkSession, root: str, output: str, recursive: bool = True,
     chunks = spark.read.parquet(f"{output}/chunks")
     files.with_results(listed, documents).write.mode("overwrite").parquet(f"{output}/manifest")
     records.write_json(records.kb_chunks(chunks), f"{output}/kb_chunks.jsonl")
+    files.report_errors(documents).write.mode("overwrite").json(f"{output}/errors")
     files.report(documents, chunks).write.mode("overwrite").json(f"{output}/report")
     return Ingested(spark.read.parquet(f"{output}/manifest"), documents, chunks, spark.read.json(f"{output}/report"))

@@ -118,8 +118,7 @@ def manifest_backfill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_counters(spark: SparkSession, folder: str) -> DataFrame:
-    docs = sources(spark, folder).withColumn("warnings", F.array().cast("array<string>"))
-    return files.report(docs, chunks(spark, folder)).drop("errors")
+    return files.report(sources(spark, folder), chunks(spark, folder))
 
 
 def extract_parameters(spark: SparkSession, folder: str) -> DataFrame:

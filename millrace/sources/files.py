@@ -193,6 +193,11 @@ def report(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row of counters. Skipped files count as failed."""
     count = lambda c: F.coalesce(F.count_if(c), F.lit(0))
     status = F.col("parse_status")
-    lines = F.concat(F.array_compact(F.array(F.when(F.coalesce("parse_error", F.lit("")) != "", F.concat_ws(": ", "source_path", "parse_error")))), F.transform(F.filter("warnings", lambda w: w != ""), lambda w: F.concat_ws(": ", F.col("source_path"), w)))
-    totals = docs.agg(F.count("*").alias("total_files"), count(status == "success").alias("parsed_successfully"), count(status == "partial").alias("parsed_partially"), count(~status.isin("success", "partial")).alias("parse_failed"), count(F.col("ocr_needed")).alias("ocr_required"), count(F.col("needs_manual_review")).alias("manual_review_required"), F.flatten(F.collect_list(lines)).alias("errors"))
+    totals = docs.agg(F.count("*").alias("total_files"), count(status == "success").alias("parsed_successfully"), count(status == "partial").alias("parsed_partially"), count(~status.isin("success", "partial")).alias("parse_failed"), count(F.col("ocr_needed")).alias("ocr_required"), count(F.col("needs_manual_review")).alias("manual_review_required"))
     return totals.withColumn("chunks_created", F.lit(chunks.count()))
+
+
+def report_errors(docs: DataFrame) -> DataFrame:
+    """source_path and error, a row for each error and each warning, as a table, since its length is not bounded. A warning that repeats the error is a row of its own."""
+    own = F.array_compact(F.array(F.nullif("parse_error", F.lit(""))))
+    return docs.select("source_path", F.explode(F.concat(own, F.filter("warnings", lambda w: w != ""))).alias("error"))

@@ -57,6 +57,8 @@ def test_report_and_manifest(ingested):
     assert (r.total_files, r.parsed_successfully, r.parsed_partially, r.parse_failed) == (10, 3, 3, 4)
     assert r.chunks_created == ingested.chunks.count() > 0
     assert ingested.manifest.where("parse_status is null").count() == 0
+    errors = files.report_errors(ingested.documents).collect()
+    assert sum(r.source_path.endswith("bad.docx") for r in errors) == 2 and not any(r.source_path.endswith("t.txt") for r in errors)
     assert ingested.manifest.where("length(checksum) = 64").count() == 10
 
 

@@ -32,6 +32,8 @@ def test_slots_are_carried(spark):
     slots = session.turn_slots(turns)
     last = session.carried(slots).where("turn = 3").first()
     assert (last.amount, last.crop_or_activity, last.duration, last.cooperative, last.guarantor, last.collateral) == ("10万元", "养牛", "半年", False, False, None)
+    blocks = {r.turn: r.amount for r in session.carried(slots, block=1).collect()}
+    assert blocks == {1: "10万元", 2: "10万元", 3: "10万元"}
     again = session.latest(slots).first()
     assert (again.amount, again.cooperative, again.turn) == ("10万元", False, 3)
 
