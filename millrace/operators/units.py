@@ -147,12 +147,39 @@ def statements(text: str | None) -> list[tuple[str, int, float, str]]:
     return out
 
 
-def stated(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per statement: record_id, quantity, common_value, number, unit. Null texts state nothing."""
+#: Words that a text speaks of a quantity with, however it words it: of a loan or limit, and of money; of a loan's course, and of time.
+MENTION = {
+    "amount": (r"贷|借|授信|额度|限额|金额|上限|最高|最多|至多|\b(?:loan|lend|lent|borrow|credit|limit|ceiling|cap|maximum|up to|advance)", r"元|圆|块|万|萬|亿|億|人民币|[¥￥]|\b(?:rmb|cny|yuan)|(?:\d|\b)(?:million|mn|thousand|[kmw])\b"),
+    "term": (r"期|贷|借|还|\b(?:loan|term|tenor|tenure|matur|repa[iy]|runs?|period|borrow|due)", r"年|月|季|天|日|周|\b(?:year|yr|month|mo|quarter|day|week)s?\b|\d[ymd]\b"),
+}
+
+
+@lru_cache(1)
+def mention_patterns() -> dict[str, tuple[re.Pattern, ...]]:
+    any_number = rf"\d|{HAN_NUMBER}|半|\b{WORD_NUMBER}\b|\bhalf\b"
+    return {q: tuple(re.compile(p, re.IGNORECASE) for p in (*words, any_number)) for q, words in MENTION.items()}
+
+
+def mentioned(text: str | None) -> list[str]:
+    """The quantities that the text speaks of, in whatever words: it has a number, a word of the quantity and one of its measure."""
+    if not text:
+        return []
+    text = plain(text)
+    return [q for q, words in mention_patterns().items() if all(w.search(text) for w in words)]
+
+
+def stated(df: DataFrame, key: str, text: str, mentions: bool = False) -> DataFrame:
+    """One row per statement: record_id, quantity, common_value, number, unit. Null texts state nothing. With ``mentions`` also a row without value per quantity that the text speaks of but does not state in a known way."""
+
+    def found(text: str | None) -> list[tuple]:
+        out = statements(text)
+        if mentions and len(told := {s[0] for s in out}) < len(MENTION):
+            out += [(q, None, None, None) for q in mentioned(text) if q not in told]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text"):
-            rows = [(k, *s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in statements(t)]
+            rows = [(k, *s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in found(t)]
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()))], names=["record_id", "quantity", "common_value", "number", "unit"])
 
@@ -200,16 +227,16 @@ def labels(rows: pd.DataFrame, quantity: str) -> np.ndarray:
 
 
 def records(parameters: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The recorded numbers with their hints, and what their evidence states (the first statement of each quantity)."""
+    """The recorded numbers with their hints, what their evidence states (the first statement of each quantity), and whether it speaks of the quantity at all."""
     base = parameters.select(
         "evidence_id", F.col("demand_scenario").alias("category"), F.element_at(F.split("evidence_id", ":"), 1).alias("source"),
         F.col("loan_amount_upper_limit").cast("double").alias("amount_value"), F.col("loan_term_months").cast("double").alias("term_value"),
         *(F.col(f"raw_slots.{c}").alias(c) for c in ("amount_text", "amount_unit", "term_text", "term_unit")),
     ).where("evidence_id is not null").distinct()
-    said = stated(evidence.select("evidence_id", "evidence_text").distinct(), "evidence_id", "evidence_text")
-    per = said.groupBy("record_id", "quantity").agg(F.min(F.struct("common_value", "number", "unit")).alias("s"))
+    said = stated(evidence.select("evidence_id", "evidence_text").distinct(), "evidence_id", "evidence_text", mentions=True)
+    per = said.groupBy("record_id", "quantity").agg(F.min(F.when(F.col("common_value").isNotNull(), F.struct("common_value", "number", "unit"))).alias("s"))
     for q in FIELDS:
-        own = per.where(F.col("quantity") == q).select(F.col("record_id").alias("evidence_id"), F.col("s").alias(f"{q}_said"))
+        own = per.where(F.col("quantity") == q).select(F.col("record_id").alias("evidence_id"), F.col("s").alias(f"{q}_said"), F.lit(True).alias(f"{q}_spoken"))
         base = base.join(own, "evidence_id", "left")
     return base
 
@@ -221,6 +248,7 @@ def _frame(rows: pd.DataFrame, quantity: str) -> pd.DataFrame:
     part = lambda name: said.map(lambda s: None if s is None else s[name])
     out["stated"], out["number"], out["unit"] = part("common_value").astype(float), part("number").astype(float), part("unit")
     out["hint"] = _hint(rows[text], rows[unit], read)
+    out["spoken"] = rows[f"{quantity}_spoken"].map(bool)
     return out
 
 
@@ -247,10 +275,11 @@ def converted(rows: DataFrame, models: dict[str, Forest], confident: float = CON
 
     route: ``converted`` (a confident unit, not contradicted), ``stated`` (the field is empty or
     contradicted, the evidence holds), ``review`` (an uncertain unit and nothing to check it with).
+    ``spoken``: the evidence states the quantity, or speaks of it in words that are not read.
     """
-    names = ["evidence_id", "quantity", "value", "unit", "confidence", "common_value", "stated_value", "route"]
-    schema = "evidence_id string, quantity string, value double, unit string, confidence double, common_value bigint, stated_value bigint, route string"
-    types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string())
+    names = ["evidence_id", "quantity", "value", "unit", "confidence", "common_value", "stated_value", "route", "spoken"]
+    schema = "evidence_id string, quantity string, value double, unit string, confidence double, common_value bigint, stated_value bigint, route string, spoken boolean"
+    types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +302,7 @@ def converted(rows: DataFrame, models: dict[str, Forest], confident: float = CON
                 route = np.where(good, "converted", np.where(known, "stated", "review"))
                 final = np.where(known & ~good, said, np.where(filled, common, said))
                 whole = lambda x: [None if np.isnan(v) else int(v) for v in x]
-                columns = (frame["evidence_id"], [q] * len(frame), [None if np.isnan(v) else v for v in value], np.where(filled, units, None), np.where(filled, sure, np.nan), whole(final), whole(said), route)
+                columns = (frame["evidence_id"], [q] * len(frame), [None if np.isnan(v) else v for v in value], np.where(filled, units, None), np.where(filled, sure, np.nan), whole(final), whole(said), route, frame["spoken"])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t, from_pandas=True) for c, t in zip(columns, types)], names=names)
 
     return rows.mapInArrow(run, schema)

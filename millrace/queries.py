@@ -163,7 +163,8 @@ def _quantities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     texts, recorded = _quantities(spark, folder)
     names = F.when(F.col("quantity") == "amount", "loan_amount_upper_limit").otherwise("loan_term_months")
-    rows = recorded.where("stated_value is not null").select(names.alias("field_name"), F.col("evidence_id").alias("record_id"), "quantity", "common_value")
+    held = F.col("stated_value").isNotNull() | ((F.col("route") == "converted") & F.col("spoken"))
+    rows = recorded.where(held).select(names.alias("field_name"), F.col("evidence_id").alias("record_id"), "quantity", "common_value")
     return texts.unionByName(rows).distinct()
 
 

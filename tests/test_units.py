@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from millrace import queries
 from millrace.operators import units
 from millrace.operators.forest import Forest
 
@@ -67,6 +68,23 @@ def test_records_are_converted_checked_and_routed(spark):
     assert len(got) == recorded.count()
 
 
+def test_found_has_confident_conversions_that_no_statement_is_read_for(spark, monkeypatch):
+    many = [(f"e{i}", "x", 50.0, 12, (None, "万元", None, "月")) for i in range(60)]
+    odd = [("odd", "x", 50.0, None, (None, "万元", None, None)), ("other", "x", 50.0, None, (None, "万元", None, None)), ("none", "x", 50.0, None, (None, "万元", None, None))]
+    said = [(f"e{i}", "额度最高50万元，贷款期限12个月") for i in range(60)] + [("odd", "每户能够借到的钱以50万元为顶"), ("other", "由县农业农村局负责解释")]
+    assert units.statements(said[-2][1]) == [] and units.mentioned(said[-2][1]) == ["amount"]
+    tables = {
+        "kb_chunk": spark.createDataFrame([], "chunk_id string, chunk_text string"),
+        "extracted_parameters": rows(spark, many + odd),
+        "selected_evidence": spark.createDataFrame(said, "evidence_id string, evidence_text string"),
+    }
+    monkeypatch.setattr(queries, "table", lambda spark, folder, name: tables[name])
+    got = {(r.field_name, r.record_id): r.common_value for r in queries.p2_found(spark, "").collect()}
+    assert got["loan_amount_upper_limit", "odd"] == 500000
+    assert got["loan_amount_upper_limit", "e3"] == 500000 and got["loan_term_months", "e3"] == 12
+    assert len(got) == 121  # nothing for evidence that does not speak of it, or that is absent
+
+
 def test_empty_tables(spark):
     empty = units.common_quantities(spark.createDataFrame([], "chunk_id string, chunk_text string"), rows(spark, []), spark.createDataFrame([], "evidence_id string, evidence_text string"))
     assert empty[0].count() == 0 and empty[1].count() == 0
