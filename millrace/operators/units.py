@@ -204,15 +204,14 @@ def _hint(texts: pd.Series, units: pd.Series, read) -> pd.Series:
 
 
 def features(rows: pd.DataFrame, quantity: str) -> np.ndarray:
-    """Magnitude, hint, category and source (hashed), the other field's magnitude, and the number and unit as the evidence writes them."""
+    """Magnitude, hint, category and source (hashed), and the other field's magnitude. Nothing of what the evidence states: that gives the labels, and the rows that need a prediction lack it."""
     choices = CHOICES[quantity]
     other = "term_value" if quantity == "amount" else "amount_value"
     value = rows[f"{quantity}_value"].astype(float)
     log = lambda s: np.log10(s.astype(float).where(s > 0)).fillna(-9).to_numpy()
     code = lambda s: s.map({u: i for i, u in enumerate(choices)}).fillna(-1).to_numpy(float)
     hashed = lambda s: pd.util.hash_array(s.fillna("").astype(str).to_numpy(object)).astype(np.uint64) % np.uint64(31)
-    ratio = np.log10((value / rows["number"]).where((value > 0) & (rows["number"] > 0))).fillna(-9)
-    return np.stack([log(value), code(rows["hint"]), hashed(rows["category"]).astype(float), hashed(rows["source"]).astype(float), log(rows[other]), log(rows["number"]), code(rows["unit"]), ratio.to_numpy()], axis=1)
+    return np.stack([log(value), code(rows["hint"]), hashed(rows["category"]).astype(float), hashed(rows["source"]).astype(float), log(rows[other])], axis=1)
 
 
 def labels(rows: pd.DataFrame, quantity: str) -> np.ndarray:
@@ -246,7 +245,7 @@ def _frame(rows: pd.DataFrame, quantity: str) -> pd.DataFrame:
     out = rows.copy()
     said = rows[f"{quantity}_said"]
     part = lambda name: said.map(lambda s: None if s is None else s[name])
-    out["stated"], out["number"], out["unit"] = part("common_value").astype(float), part("number").astype(float), part("unit")
+    out["stated"] = part("common_value").astype(float)
     out["hint"] = _hint(rows[text], rows[unit], read)
     out["spoken"] = rows[f"{quantity}_spoken"].map(bool)
     return out

@@ -85,6 +85,19 @@ def test_found_has_confident_conversions_that_no_statement_is_read_for(spark, mo
     assert len(got) == 121  # nothing for evidence that does not speak of it, or that is absent
 
 
+def test_confidence_holds_without_evidence(spark):
+    # the number alone does not tell the unit: half are yuan, half are ten thousands, and nothing is hinted
+    many = [(f"e{i}", "x", 50.0, None, None) for i in range(400)] + [(f"h{i}", "x", 30.0, None, (None, "万元", None, None)) for i in range(200)]
+    said = [(f"e{i}", f"额度最高{'50万元' if i % 2 else '50元'}") for i in range(400)] + [(f"h{i}", "额度最高30万元") for i in range(200)]
+    alone = [("bare", "x", 50.0, None, None), ("hinted", "x", 30.0, None, (None, "万元", None, None))]
+    chunks = spark.createDataFrame([], "chunk_id string, chunk_text string")
+    recorded = units.common_quantities(chunks, rows(spark, many + alone), spark.createDataFrame(said, "evidence_id string, evidence_text string"))[1]
+    got = {r.evidence_id: r for r in recorded.collect()}
+    assert got["bare"].route == "review" and got["bare"].confidence < 0.7
+    assert got["e1"].common_value == 500000 and got["e2"].common_value == 50 and got["e1"].confidence < 0.7
+    assert got["hinted"].route == "converted" and got["hinted"].common_value == 300000
+
+
 def test_empty_tables(spark):
     empty = units.common_quantities(spark.createDataFrame([], "chunk_id string, chunk_text string"), rows(spark, []), spark.createDataFrame([], "evidence_id string, evidence_text string"))
     assert empty[0].count() == 0 and empty[1].count() == 0
