@@ -14,7 +14,7 @@ hash bucket, so no task ever holds a source.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,8 @@ BUCKETS, PER_BUCKET = 1024, 1_000_000
 MOST_TARGETS = 100_000
 #: Source name -> knots (place in training from 0 to 1, factor on the source's weight). The others have a flat schedule.
 Schedule = dict[str, list[tuple[float, float]]]
+#: The most that a source's weight departs from its mean over the course of training.
+TILT = 0.5
 
 
 @lru_cache(2)
@@ -96,6 +98,23 @@ def plan(available: dict[str, int], corpus: int, targets: pd.DataFrame) -> pd.Da
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["mix_id", "source", "target_share", "max_repeats", "available", "wanted", "demand", "capped"])
 
 
+def tilted(rows: pd.DataFrame, tilt: float = TILT) -> Schedule:
+    """The schedule of a mix: sources that are repeated more come later, the plentiful ones first.
+
+    A source's weight runs from 1 - c to 1 + c, so its integral stays its share; c grows with the
+    logarithm of its epochs, is zero on the demand's average (the rates of all sources together
+    are the same throughout), and is at most ``tilt``.
+    """
+    used = rows[(rows.demand > 0) & (rows.available > 0)]
+    if used.empty:
+        return {}
+    epochs = np.log(used.demand.to_numpy(float) / used.available.to_numpy(float))
+    c = epochs - np.average(epochs, weights=used.demand.to_numpy(float))
+    most = np.abs(c).max()
+    c = c * (tilt / most) if most > 1e-9 else np.zeros(len(c))
+    return {s: [(0.0, 1.0 - x), (1.0, 1.0 + x)] for s, x in zip(used.source, c.tolist())}
+
+
 def inverse_schedule(rows: pd.DataFrame, schedule: Schedule, steps: int = 1000) -> dict[str, list[float]]:
     """Per source, the place in training at which 0, 1/steps, ... of its demand is met.
 
@@ -114,11 +133,12 @@ def inverse_schedule(rows: pd.DataFrame, schedule: Schedule, steps: int = 1000)
     return out
 
 
-def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", schedules: dict[int, Schedule] | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", schedules: dict[int, Schedule] | Callable[[pd.DataFrame], Schedule] | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (mix_id, key, source, epoch, tokens, position from 0 to 1, sorted by mix and position) and the report (one row per mix and source: shares wanted and reached).
 
     A document is in a mix once per epoch of its source, and in the last, partial epoch if the
     middle of its tokens lies within the demand. Sources that are absent from the corpus reach 0.
+    schedules: by mix, or what makes one from the planned rows of a mix; none for flat ones.
     """
     spark = docs.sparkSession
     sizes = sizes if sizes is not None else checkpointed(sized(docs, key, text, source))
@@ -139,7 +159,7 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     placed = named.join(F.broadcast(starts) if len(totals) * buckets < 1_000_000 else starts, ["source", "bucket"]).withColumn("before", F.col("start") + F.sum("tokens").over(inner) - F.col("tokens"))
     curves = []
     for mix_id, rows in decided[decided.demand > 0].groupby("mix_id"):
-        curve = inverse_schedule(rows, (schedules or {}).get(int(mix_id), {}))
+        curve = inverse_schedule(rows, schedules(rows) if callable(schedules) else (schedules or {}).get(int(mix_id), {}))
         curves += [(int(mix_id), r.source, int(r.available), float(r.demand), curve[r.source]) for r in rows.itertuples()]
     demand = spark.createDataFrame(curves, "mix_id int, source string, available bigint, demand double, curve array<double>")
     drawn = placed.join(F.broadcast(demand), "source")

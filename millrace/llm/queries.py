@@ -67,11 +67,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"), schedules=mixing.tilted)[0]
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"), schedules=mixing.tilted)[1]
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:

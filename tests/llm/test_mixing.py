@@ -1,6 +1,6 @@
 import pytest
 
-from millrace.llm import mixing
+from millrace.llm import mixing, queries
 
 TARGETS = "mix_id int, source string, target_share double, max_repeats int, budget_share double"
 
@@ -38,6 +38,22 @@ def test_positions_are_sorted_and_follow_the_schedule(spark, sizes):
     assert abs(sum(of_a) / len(of_a) - 0.5) < 0.03
 
 
+def test_registered_queries_vary_the_mix_over_time(spark, monkeypatch):
+    docs = [(i, "hello world", "plenty") for i in range(900)] + [(1000 + i, "hello world", "rare") for i in range(100)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id bigint, text string, source string"),
+        "mix_target": spark.createDataFrame([(1, "plenty", 0.6, 1, 0.8), (1, "rare", 0.4, None, 0.8)], TARGETS),
+    }
+    monkeypatch.setattr(queries, "table", lambda spark, folder, name: tables[name])
+    rows = queries.p8_mixture(spark, "").collect()
+    mean = lambda source: sum(r.position for r in rows if r.source == source) / sum(r.source == source for r in rows)
+    assert mean("rare") > 0.55 and mean("plenty") < 0.5
+    for k in range(4):  # as many tokens in each quarter of training
+        assert abs(sum(r.tokens for r in rows if k / 4 <= r.position < (k + 1) / 4) / sum(r.tokens for r in rows) - 0.25) < 0.02
+    report = {r.source: r.actual_share for r in queries.p8_shares(spark, "").collect()}
+    assert abs(report["rare"] - 0.4) < 0.01 and abs(report["plenty"] - 0.6) < 0.01
+
+
 def test_tokens_and_names(spark):
     docs = spark.createDataFrame([(1, "hello world, hello", "County-Notice "), (2, None, None), (3, "", " ")], "doc_id bigint, text string, source string")
     rows = {r.doc_id: r for r in mixing.sized(docs, "doc_id", "text", "source").collect()}
