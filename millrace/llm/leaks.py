@@ -4,7 +4,8 @@ The evaluation items are put into an inverted index of character n-grams with BM
 block maxima. Each passage of a training text is a query; block-max WAND returns every item whose
 score reaches that item's threshold. The threshold of an item is the least score that any stretch
 of ``run`` characters of it has, so no leak is missed; what is returned is verified character by
-character. Passages overlap by ``run`` - 1 characters, so a leak lies whole within one of them.
+character against the whole document. Passages overlap by ``run`` - 1 characters, so each run of a
+leak lies whole within one of them.
 
 Only letters and digits count, in one case and width.
 """
@@ -29,6 +30,8 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Characters of evaluation items in one index; more items make more indexes, each passed over by itself.
 INDEX_CHARS = 8_000_000
+#: Pairs of equal runs held at a time while a document is compared with an item.
+PAIRS = 1 << 20
 
 
 @lru_cache(1)
@@ -162,35 +165,55 @@ class Index:
             cursors = moved
         return found
 
-    def overlap(self, text: np.ndarray, item: int) -> tuple[int, int]:
-        """The longest stretch that the text shares with the item (0 if under ``run``), and its start in the item."""
+    def stretches(self, text: np.ndarray, there: np.ndarray, item: int) -> list[tuple[int, int]]:
+        """(length, start in the item) of every stretch of at least ``run`` characters that the text shares with the item; ``there`` has the hashes of the text's runs."""
         own = self.points[self.offsets[item] : self.offsets[item + 1]]
         n = self.run
-        if len(own) < n or len(text) < n:
-            return 0, 0
-        a, b = np.arange(len(text) - n + 1), np.arange(len(own) - n + 1)
-        there, here = Hashes(text).of(a, a + n), Hashes(own).of(b, b + n)
+        if len(own) < n or not len(there):
+            return []
+        b = np.arange(len(own) - n + 1)
+        here = Hashes(own).of(b, b + n)
         order = np.argsort(here, kind="stable")
-        at = np.searchsorted(here[order], there)
-        at = np.minimum(at, len(order) - 1)
-        hit = np.flatnonzero(here[order][at] == there)
-        best = (0, 0)
-        done: dict[int, int] = {}
-        for p in hit:
-            q = int(order[at[p]])
-            if done.get(q - int(p), -1) > p:
-                continue
-            size = 0
-            while p + size < len(text) and q + size < len(own) and text[p + size] == own[q + size]:
-                size += 1
-            done[q - int(p)] = int(p) + size
-            if size >= n and size > best[0]:
-                best = (size, q)
-        return best
+        low, high = (np.searchsorted(here[order], there, side) for side in ("left", "right"))
+        hit = np.flatnonzero(high > low)
+        many = (high - low)[hit]
+        total = np.cumsum(many)
+        found: list[tuple[int, int]] = []
+
+        def close(first: int, last: int, shift: int) -> None:
+            same = np.concatenate([[False], text[first : last + n] == own[first + shift : last + shift + n], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1])  # more than one stretch only where hashes collide
+            found.extend((int(e - s), first + shift + int(s)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= n)
+
+        open_, before, at = {}, -2, 0  # by shift the stretches that reach the end of the part before
+        while at < len(hit):  # a bounded number of pairs of places at a time
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            k = many[at:stop]
+            p = np.repeat(hit[at:stop], k)
+            q = order[np.repeat(low[hit[at:stop]], k) + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)]
+            by = np.lexsort((p, q - p))
+            p, shift = p[by], (q - p)[by]
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(shift) != 0) | (np.diff(p) != 1)]))
+            ends = np.append(starts[1:], len(p)) - 1
+            now = {}
+            for a, z in zip(starts, ends):
+                first, last, s = int(p[a]), int(p[z]), int(shift[a])
+                if first == before + 1 and s in open_:
+                    first = open_.pop(s)
+                if last == hit[stop - 1]:
+                    now[s] = first
+                else:
+                    close(first, last, s)
+            for s, first in open_.items():
+                close(first, before, s)
+            open_, before, at = now, int(hit[stop - 1]), stop
+        for s, first in open_.items():
+            close(first, before, s)
+        return found
 
 
-def _search_batch(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int]]:
-    """(row, item, length, start) of each leak in a batch of texts."""
+def _search_batch(texts: pa.Array, index: Index) -> list[tuple[int, int, int, bool, bool]]:
+    """(row, item, longest shared stretch, whether any touches the question, the answer) of each leak in a batch of texts."""
     points, offsets = fold(*decode(texts))
     at, h = grams(points, offsets, GRAM)
     term = index.lookup(h)
@@ -201,7 +224,8 @@ def _search_batch(texts: pa.Array, index: Index) -> list[tuple[int, int, int, in
     row = np.searchsorted(offsets, at, "right") - 1
     step = PASSAGE - index.run + 1
     inside = at - offsets[row]
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    out: dict[tuple[int, int], tuple[int, bool, bool] | None] = {}
+    hashed, there = -1, np.zeros(0, np.uint64)
     # the passages that a place belongs to: the one it falls in and, near its start, the one before
     number = inside // step
     keys = [row * (1 << 32) + number]
@@ -215,13 +239,17 @@ def _search_batch(texts: pa.Array, index: Index) -> list[tuple[int, int, int, in
     ends = np.append(cut[1:], len(key))
     for g in np.flatnonzero(bound >= index.floor):
         r = int(key[cut[g]] >> 32)
-        start = int(offsets[r]) + int(key[cut[g]] & 0xFFFFFFFF) * step
-        passage = points[start : min(start + PASSAGE, int(offsets[r + 1]))]
         for item in index.search(np.unique(term[places[cut[g] : ends[g]]])):
-            size, q = index.overlap(passage, item)
-            if size and size > out.get((r, item), (0, 0))[0]:
-                out[(r, item)] = (size, q)
-    return [(r, i, *found) for (r, i), found in out.items()]
+            if (r, item) in out:
+                continue
+            text = points[int(offsets[r]) : int(offsets[r + 1])]  # all of it: a leak may be longer than a passage, or come in parts
+            if hashed != r:
+                a = np.arange(max(0, len(text) - index.run + 1))
+                hashed, there = r, Hashes(text).of(a, a + index.run)
+            shared = index.stretches(text, there, item)
+            size = index.question_size[item]
+            out[(r, item)] = (max(n for n, _ in shared), any(q < size for _, q in shared), any(q + n > size for n, q in shared)) if shared else None
+    return [(r, i, *found) for (r, i), found in out.items() if found]
 
 
 def indexes(items: DataFrame, run: int = RUN, most: int = INDEX_CHARS) -> list[Index]:
@@ -239,7 +267,7 @@ def indexes(items: DataFrame, run: int = RUN, most: int = INDEX_CHARS) -> list[I
 
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """One row per document and item that share at least ``run`` characters in a row: key, item_id, the longest shared stretch within a passage and whether it touches the item's question and its answer. Null texts leak nothing; repeated rows count once."""
+    """One row per document and item that share at least ``run`` characters in a row: key, item_id, the longest shared stretch and whether any touches the item's question and its answer. Null texts leak nothing; repeated rows count once."""
     wanted = docs.select(key, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("item_id bigint, shared int, in_question boolean, in_answer boolean").fields])
 
@@ -250,9 +278,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
             index = shipped.value
             for batch in sliced(batches, "__text"):
                 rows = _search_batch(batch.column("__text"), index)
-                size = [n for *_, n, _ in rows]
-                question = [q < index.question_size[i] for _, i, _, q in rows]
-                answer = [q + n > index.question_size[i] for _, i, n, q in rows]
+                size, question, answer = ([r[k] for r in rows] for k in (2, 3, 4))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([r for r, *_ in rows], pa.int64())), pa.array([index.ids[i] for _, i, *_ in rows], pa.int64()), pa.array(size, pa.int32()), pa.array(question, pa.bool_()), pa.array(answer, pa.bool_())],
                     names=[key, "item_id", "shared", "in_question", "in_answer"],

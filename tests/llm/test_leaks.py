@@ -49,6 +49,27 @@ def test_all_leaks_and_no_other(spark, tables):
     assert min(r.shared for r in rows.values()) >= 40
 
 
+def test_leaks_across_passages_are_measured_whole(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("贷款期限申请条件养殖大户提交身份证明核对台账备案元亩", k=n))
+    question, answer, line = text(90), text(500), "同" * 50
+    items = [(1, question, question + answer), (2, line, line)]
+    docs = [(1, text(150) + question + answer + text(30)), (2, text(130) + question + answer[:35]), (3, text(300) + question[:60] + text(300) + answer[:45]), (4, "同" * 700)]
+    got = leaks.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, question string, passage string"))
+    rows = {(r.doc_id, r.item_id): (r.shared, r.in_question, r.in_answer) for r in got.collect()}
+    assert rows == {(1, 1): (590, True, True), (2, 1): (125, True, True), (3, 1): (60, True, True), (4, 2): (50, True, False)}
+
+
+def test_stretches_in_small_parts(tables, monkeypatch):
+    index = leaks.Index([1], ["甲乙" * 40 + "丙丁" * 30], ["甲"])
+    points = leaks.fold(*leaks.decode(leaks.pa.array(["甲乙" * 45 + "丙丁" * 40])))[0]
+    at = leaks.np.arange(len(points) - 39)
+    there = leaks.Hashes(points).of(at, at + 40)
+    want = sorted(index.stretches(points, there, 0))
+    monkeypatch.setattr(leaks, "PAIRS", 3)
+    assert sorted(index.stretches(points, there, 0)) == want and max(want)[0] == 140
+
+
 def test_block_max_wand_equals_scoring_all(tables):
     index = leaks.Index([i for i, *_ in tables[1]], [p for *_, p in tables[1]], [q for _, q, _ in tables[1]])
     rng = random.Random(1)
