@@ -2,7 +2,8 @@
 
 Texts are cut into chunks of a bounded size. Each chunk gives a row of counts that can be added;
 what depends on the characters before a chunk (a word or line that began earlier) is corrected
-from the boundary, so the sums over the chunks are those of the whole text. The counts are merged
+from the boundary, and repetition is looked for in the whole text, so the sums over the chunks are
+those of the whole text. The counts are merged
 by a partial and a final aggregation, and ratios and rules are derived from the sums.
 """
 
@@ -196,14 +197,15 @@ def counts(points: np.ndarray, offsets: np.ndarray, words: Vocabulary, chunk: in
     inner = np.isin(points, [ord(x) for x in ".-%:"])
     begins[1:] &= ~(number[:-1] | inner[:-1]) | first[1:n]
     add("numbers", begins)
-    # repeated sequences of ten characters, within a chunk
-    places = np.flatnonzero(np.ones(n, bool))[: max(0, n - 9)]
-    own = np.searchsorted(start, places, "right") - 1
-    places = places[edges[own + 1] >= places + 10]
+    # repeated sequences of ten characters within a text, counted where they begin
+    places = np.arange(max(0, n - 9))
+    owner = np.searchsorted(offsets, places, "right") - 1
+    inside = offsets[owner + 1] >= places + 10
+    places, owner = places[inside], owner[inside]
     if len(places):
-        own = np.searchsorted(start, places, "right") - 1
+        own = at(places)
         out["grams"] = np.bincount(own, minlength=total)
-        out["repeated_grams"] = np.bincount(own[_repeats(own, hashes.of(places, places + 10))], minlength=total)
+        out["repeated_grams"] = np.bincount(own[_repeats(owner, hashes.of(places, places + 10))], minlength=total)
     return row, np.stack([out[k] for k in COUNTS], 1)
 
 

@@ -36,6 +36,20 @@ def test_chunks_add_up_to_the_whole():
                 assert (total[:, k] == whole[:, k]).all(), (size, name)
 
 
+def test_repeated_sequences_are_those_of_the_whole_text():
+    rng = np.random.default_rng(9)
+    block = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 50_000)))
+    row, m = quality.counts(*decode(pa.array(["前" + block * 10, "甲乙"])), quality.Vocabulary(WORDS))
+    got = {k: int(m[row == 0, i].sum()) for i, k in enumerate(quality.COUNTS)}
+    assert got["grams"] == 500_001 - 9 and got["repeated_grams"] == 450_000 - 9
+    texts = pa.array([PROSE * 4, "甲乙", PROSE[:30] * 3])
+    k = [quality.COUNTS.index(c) for c in ("grams", "repeated_grams")]
+    _, whole = quality.counts(*decode(texts), quality.Vocabulary(WORDS))
+    for size in (1, 7, 64):
+        row, parts = quality.counts(*decode(texts), quality.Vocabulary(WORDS), size)
+        assert all((parts[row == r][:, k].sum(0) == whole[r, k]).all() for r in range(3))
+
+
 def test_plain_counts():
     text = "Hello the World. 的\n第二行，没有\n"
     _, m = quality.counts(*decode(pa.array([text])), quality.Vocabulary(WORDS))
