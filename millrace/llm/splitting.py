@@ -4,7 +4,8 @@ An item is first cut into atomic segments at every natural boundary: ends of par
 sentences (by the sentence operator) and clauses; a segment that is itself too long is cut at
 spaces or, without any, evenly. Adjacent segments lie in a heap; the weakest boundary is merged
 first, while the combined size and the overlap fit the limit. Each piece but the first then starts
-up to ``overlap`` characters earlier, at a natural boundary where there is one.
+up to ``overlap`` characters earlier, at a natural boundary where there is one. A sentence that fits
+the limit but not with its overlap is a core of its own and gets a shorter overlap.
 """
 
 from __future__ import annotations
@@ -52,11 +53,11 @@ def boundaries(text: str, unit_ends: list[int]) -> dict[int, int]:
     return out
 
 
-def segments(text: str, marks: dict[int, int], most: int) -> tuple[list[int], list[int]]:
-    """Cuts (first 0, last the length) of segments of at most ``most`` characters, and the strength of each cut."""
+def segments(text: str, marks: dict[int, int], most: int, uncut: frozenset[tuple[int, int]] = frozenset()) -> tuple[list[int], list[int]]:
+    """Cuts (first 0, last the length) of segments of at most ``most`` characters (but for those of ``uncut``), and the strength of each cut."""
     cuts, strength = [0], [PARAGRAPH]
     for p, s in [*sorted(marks.items()), (len(text), PARAGRAPH)]:
-        while p - cuts[-1] > most:  # no natural boundary in reach
+        while p - cuts[-1] > most and (cuts[-1], p) not in uncut:  # no natural boundary in reach
             space = max(text.rfind(" ", cuts[-1] + most // 2, cuts[-1] + most), text.rfind("\n", cuts[-1] + most // 2, cuts[-1] + most))
             whole = -(-(p - cuts[-1]) // most)
             at = space + 1 if space > 0 else cuts[-1] + -(-(p - cuts[-1]) // whole)
@@ -95,14 +96,22 @@ def pieces(text: str, unit_ends: list[int], limit: int = LIMIT, overlap: int = O
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     marks = boundaries(text, unit_ends)
-    cuts, strength = segments(text, marks, limit - overlap)
+    ends = {0, len(text)}
+    for e in unit_ends:
+        while e < len(text) and text[e].isspace():
+            e += 1
+        ends.add(e)
+    ends = sorted(ends)
+    uncut = frozenset((a, b) for a, b in zip(ends, ends[1:]) if limit - overlap < b - a <= limit)  # these stay whole and get a shorter overlap
+    within = {p for a, b in uncut for p in range(a + 1, b)}
+    cuts, strength = segments(text, {p: s for p, s in marks.items() if p not in within}, limit - overlap, uncut)
     kept = merge(cuts, strength, limit - overlap)
     natural = np.array(sorted(marks), dtype=np.int64)
     out = []
     for a, b in zip(kept, kept[1:]):
         start = a
         if a and overlap:
-            low = max(0, a - overlap)
+            low = max(0, a - min(overlap, limit - (b - a)))
             inside = natural[(natural >= low) & (natural < a)]
             start = int(inside[0]) if len(inside) else low
         out.append((start, a, b))

@@ -40,3 +40,13 @@ def test_rows(spark):
     assert [(r.paragraph_range.start, r.paragraph_range.end) for r in own][0] == (3, 3) and own[-1].paragraph_range.end == 4
     assert all(r.paragraph_range is None for r in rows if r.record_id == "d")
     assert all(r.text == long[r.start_pos : r.end_pos] for r in own)
+
+
+def test_a_sentence_that_fits_the_limit_is_not_cut_inside():
+    first, long, last = "前文在此说明情况。" * 30, "贷款，期限" * 150 + "。", "后文再作补充说明。" * 30
+    text = first + long + last
+    ends = [*range(9, len(first) + 1, 9), len(first) + len(long), *range(len(first) + len(long) + 9, len(text) + 1, 9)]
+    got = splitting.pieces(text, ends)
+    assert (len(first), len(first) + len(long)) in [(core, end) for _, core, end in got]
+    assert all(end - start <= 800 for start, _, end in got) and all(core in (0, *ends) for _, core, _ in got)
+    assert "".join(text[core:end] for _, core, end in got) == text
