@@ -41,6 +41,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its class of equal texts, its connected group and its links."""
+    parts = [
+        neardup.duplicate_groups(table(spark, folder, name), key, text).select(F.lit(text).alias("field_name"), F.col("id").alias("record_id"), "class_id", "group_id", "copies", "links")
+        for name, key, text in (("source_document", "doc_id", "raw_text"), ("kb_chunk", "chunk_id", "chunk_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_one_form(spark: SparkSession, folder: str) -> DataFrame:
     """Every title and chunk text in its one form. Repeated rows count once."""
     parts = [
@@ -90,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_one_form": p6_one_form,
     "p7_found": p7_found,
