@@ -121,9 +121,12 @@ class Hashes:
         self.sum = np.zeros(n, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(0x1F3D)) * np.cumprod(up)[:-1], out=self.sum[1:])
 
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Before mixing: that of two stretches together is ``raw(a) + raw(b) * BASE ** length(a)``, modulo 2^64."""
+        return (self.sum[end] - self.sum[start]) * self.down[start]
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sum[end] - self.sum[start]) * self.down[start]
-        return mix(h)
+        return mix(self.raw(start, end))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
