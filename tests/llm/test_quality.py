@@ -21,38 +21,60 @@ def test_kinds(spark):
     assert got[11].kind == "junk"  # endless repetition
 
 
-def test_chunks_add_up_to_the_whole():
-    text = "The farms of Liwu, etc. " * 40 + "\n" + PROSE * 5 + "\n\n| a | 1 |\n"
-    vocabulary = quality.Vocabulary(WORDS)
-    points, offsets = decode(pa.array([text, "", "x" * 50, text[:77]]))
-    names = list(quality.COUNTS)
-    whole_row, whole = quality.counts(points, offsets, vocabulary)
-    for size in (1, 3, 17, 64):
-        row, parts = quality.counts(points, offsets, vocabulary, size)
-        total = np.zeros((4, len(names)), np.int64)
-        np.add.at(total, row, parts)
-        for k, name in enumerate(names):
-            if name not in ("grams", "repeated_grams"):  # sequences are looked for within a chunk
-                assert (total[:, k] == whole[:, k]).all(), (size, name)
-
-
-def test_repeated_sequences_are_those_of_the_whole_text():
+TEXTS = [
+    "The farms of Liwu, etc. " * 40 + "\n" + PROSE * 5 + "\n\n| a | 1 |\n", "", "x" * 50, "a.b. c.. 3.5 .", "甲" * 33 + "....... 12\n", "  - 一\n\n\r\n  two  words   here  \n" * 7, "\n\n\n", " \t ", "and the" + "k" * 24 + " of,of;of|to\t" * 9, "1.甲\n2.乙\n12)丙\n-\n- 丁",
+]
+
+
+def folded(chunks, vocabulary, rng):
+    """Any order of merging neighbours."""
+    states = [quality.partial(c, vocabulary) for c in chunks]
+    lines = [h for s in states for h in s["line_hashes"]]
+    grams = [h for s in states for h in s["gram_hashes"]]
+    while len(states) > 1:
+        k = rng.integers(len(states) - 1)
+        states[k : k + 2] = [quality.merged(*states[k : k + 2], vocabulary)]
+        lines += states[k]["line_hashes"]
+        grams += states[k]["gram_hashes"]
+    total, last = quality.finished(states[0])
+    by = dict(zip(quality.COUNTS, total.tolist()))
+    return by | {"repeated_lines": by["lines"] - len(set(lines + last)), "repeated_grams": by["grams"] - len(set(grams))}
+
+
+def test_any_cut_and_any_order_of_merging_give_the_whole():
+    vocabulary, rng = quality.Vocabulary(WORDS), np.random.default_rng(1)
+    alphabet = list("ab the.，。 \n\n\t|,;一1-甲的…·")
+    texts = [*TEXTS, *("".join(rng.choice(alphabet, rng.integers(0, 300))) for _ in range(60))]
+    whole = quality.counts(*decode(pa.array(texts)), vocabulary)
+    for k, text in enumerate(texts):
+        alone = quality.counts(*decode(pa.array([text])), vocabulary)[0]
+        assert (alone == whole[k]).all(), text  # neighbours in a batch do not matter
+        points = decode(pa.array([text]))[0]
+        for size in (1, 2, 3, 7, 17, 64, 1000):
+            got = folded([points[i : i + size] for i in range(0, max(1, len(points)), size)], vocabulary, rng)
+            assert got == dict(zip(quality.COUNTS, whole[k].tolist())), (size, text)
+
+
+def test_chunks_spread_over_tasks_give_the_whole(spark):
+    rows = [*enumerate(TEXTS), (50, PROSE * 400), (51, None), (51, "甲乙"), (52, "字" * 9000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r for r in quality.statistics(df, "doc_id", "text", WORDS).collect()}
+    for size in (17, 1000):
+        assert {r.doc_id: r for r in quality.statistics(df, "doc_id", "text", WORDS, size).collect()} == want
+
+
+def test_repeated_sequences_are_those_of_the_whole_text(spark):
     rng = np.random.default_rng(9)
     block = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 50_000)))
-    row, m = quality.counts(*decode(pa.array(["前" + block * 10, "甲乙"])), quality.Vocabulary(WORDS))
-    got = {k: int(m[row == 0, i].sum()) for i, k in enumerate(quality.COUNTS)}
-    assert got["grams"] == 500_001 - 9 and got["repeated_grams"] == 450_000 - 9
-    texts = pa.array([PROSE * 4, "甲乙", PROSE[:30] * 3])
-    k = [quality.COUNTS.index(c) for c in ("grams", "repeated_grams")]
-    _, whole = quality.counts(*decode(texts), quality.Vocabulary(WORDS))
-    for size in (1, 7, 64):
-        row, parts = quality.counts(*decode(texts), quality.Vocabulary(WORDS), size)
-        assert all((parts[row == r][:, k].sum(0) == whole[r, k]).all() for r in range(3))
+    text = "前" + block * 10
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = quality.statistics(df, "doc_id", "text", WORDS).first()
+    assert got.grams == 500_001 - 9 and got.repeated_grams == 450_000 - 9 and got.kind == "junk"
 
 
 def test_plain_counts():
     text = "Hello the World. 的\n第二行，没有\n"
-    _, m = quality.counts(*decode(pa.array([text])), quality.Vocabulary(WORDS))
+    m = quality.counts(*decode(pa.array([text])), quality.Vocabulary(WORDS))
     got = dict(zip(quality.COUNTS, m[0]))
     assert got["words"] == 3 + 1 + 5 and got["common"] == 2 and got["lines"] == 2 and got["ended_lines"] == 0 and got["chars"] == len(text)
 
