@@ -2,9 +2,9 @@
 
 Statements in text are read with their units. Recorded numbers often lack a unit; a calibrated
 ensemble of trees predicts it from the number's magnitude, the spelling of a unit hint, the source
-and category of the record, and the neighbouring fields. Confident predictions are converted; the
-others, and those that the record's own evidence contradicts, are routed for review. Where the
-evidence states the quantity, the value is checked against it and the statement holds.
+and category of the record, and the neighbouring fields. Confident predictions are converted, and
+marked where the record's own evidence contradicts them; uncertain ones are routed for review, which
+takes what the evidence states, if it does. Empty fields are filled from the evidence.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.codepoints import sliced
 from millrace.operators.forest import Forest
+from millrace.session import Stored
 
 #: Units of money in yuan and of time in months, with their spellings.
 MONEY = {"yuan": 1.0, "thousand": 1e3, "wan": 1e4, "million": 1e6, "yi": 1e8}
@@ -193,7 +194,7 @@ CHOICES = {"amount": ("yuan", "thousand", "wan", "million", "yi"), "term": ("day
 #: Labelled records that the trees are fitted on.
 SAMPLE = 20_000
 #: A prediction is converted from this calibrated confidence on.
-CONFIDENT = 0.9
+CONFIDENT = 0.95
 
 
 def _hint(texts: pd.Series, units: pd.Series, read) -> pd.Series:
@@ -272,13 +273,15 @@ def _pandas(table: pa.Table | pa.RecordBatch) -> pd.DataFrame:
 def converted(rows: DataFrame, models: dict[str, Forest], confident: float = CONFIDENT) -> DataFrame:
     """One row per record and quantity that is recorded or stated: the predicted unit, its confidence, the common value and the route.
 
-    route: ``converted`` (a confident unit, not contradicted), ``stated`` (the field is empty or
-    contradicted, the evidence holds), ``review`` (an uncertain unit and nothing to check it with).
-    ``spoken``: the evidence states the quantity, or speaks of it in words that are not read.
+    route: ``converted`` (recorded, in a confident unit), ``review`` (recorded, in an uncertain one:
+    the common value is what the evidence states, else the conversion by the likeliest unit),
+    ``stated`` (an empty field, filled from the evidence). ``contradicted``: the conversion is not
+    what the evidence states. ``spoken``: the evidence states the quantity, or speaks of it in words
+    that are not read. Null ids have no row; repeated records count once.
     """
-    names = ["evidence_id", "quantity", "value", "unit", "confidence", "common_value", "stated_value", "route", "spoken"]
-    schema = "evidence_id string, quantity string, value double, unit string, confidence double, common_value bigint, stated_value bigint, route string, spoken boolean"
-    types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+    names = ["evidence_id", "quantity", "value", "unit", "confidence", "common_value", "stated_value", "route", "contradicted", "spoken"]
+    schema = "evidence_id string, quantity string, value double, unit string, confidence double, common_value bigint, stated_value bigint, route string, contradicted boolean, spoken boolean"
+    types = (pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,11 +300,11 @@ def converted(rows: DataFrame, models: dict[str, Forest], confident: float = CON
                     common = np.round(value * np.array([scale[u] for u in CHOICES[q]])[unit])
                     agrees = np.isclose(common, said, rtol=1e-6, atol=0.51)
                 filled, known = ~np.isnan(value), ~np.isnan(said)
-                good = filled & (sure >= confident) & (agrees | ~known)
-                route = np.where(good, "converted", np.where(known, "stated", "review"))
+                good = filled & (sure >= confident)
+                route = np.where(good, "converted", np.where(filled, "review", "stated"))
                 final = np.where(known & ~good, said, np.where(filled, common, said))
                 whole = lambda x: [None if np.isnan(v) else int(v) for v in x]
-                columns = (frame["evidence_id"], [q] * len(frame), [None if np.isnan(v) else v for v in value], np.where(filled, units, None), np.where(filled, sure, np.nan), whole(final), whole(said), route, frame["spoken"])
+                columns = (frame["evidence_id"], [q] * len(frame), [None if np.isnan(v) else v for v in value], np.where(filled, units, None), np.where(filled, sure, np.nan), whole(final), whole(said), route, filled & known & ~agrees, frame["spoken"])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t, from_pandas=True) for c, t in zip(columns, types)], names=names)
 
     return rows.mapInArrow(run, schema)
@@ -310,5 +313,5 @@ def converted(rows: DataFrame, models: dict[str, Forest], confident: float = CON
 def common_quantities(chunks: DataFrame, parameters: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All quantities in yuan and months, of the texts (one row per distinct value) and of the records."""
     texts = stated(chunks, "chunk_id", "chunk_text").select(F.lit("chunk_text").alias("field_name"), "record_id", "quantity", "common_value").distinct()
-    rows = records(parameters, evidence)
+    rows = Stored(records(parameters, evidence)).rows
     return texts, converted(rows, fit(rows))
