@@ -15,6 +15,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "kb_chunk"), "chunk_id", "chunk_text")
 
 
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence units of each entry of ``paragraphs``."""
+    docs = table(spark, folder, "source_document")
+    model = sentences.train(docs.select("doc_id", F.array_join("paragraphs", "\n\n").alias("text")), "doc_id", "text")
+    entries = docs.select("doc_id", F.posexplode("paragraphs").alias("para_no", "paragraph"))
+    units = sentences.with_units(entries, "paragraph", model, ["doc_id", "para_no"]).distinct()
+    return units.select("doc_id", "para_no", F.inline(F.arrays_zip("starts", "ends"))).withColumnsRenamed({"starts": "start_pos", "ends": "end_pos"})
+
+
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encodings.garbled_paragraphs(table(spark, folder, "source_document"), "doc_id", "paragraphs")
 
@@ -94,6 +103,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,

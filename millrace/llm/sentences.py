@@ -1,10 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
 Candidates are end marks with the closing quotes and brackets behind them, semicolons and colons
-before an enumerator, and spaces in Thai. Where the mark alone decides (a full stop of Chinese,
-a danda), it does; all else is classified by a maximum-entropy model whose features are the
-neighbouring tokens, their case, length, digits and script. It is fitted on boundaries that are
-reliable without it: the end of a paragraph, followed by the start of the next one.
+before an enumerator, and spaces in Thai. Each is classified by a maximum-entropy model whose
+features are the neighbouring tokens, their case, length, digits and script; only the end of a
+paragraph needs no model. It is fitted on boundaries that are reliable without it: the end of a
+paragraph, followed by the start of the next one, and line breaks before an enumerator. How sure it
+must be of a kind is fitted, too, on reliable boundaries that it has not seen.
 
 Everything works on code-point arrays of whole batches.
 """
@@ -25,9 +26,10 @@ from millrace.llm.maxent import MaxEnt, hashed
 
 #: Rows that the model is fitted on.
 SAMPLE = 8000
-DOT, CLOSED, THAI = range(3)
-#: A candidate is a boundary from this chance on. The scores lie near 0 and above a half; the corrected chance is low rather than high where features are few.
-LEAST = np.array([0.2, 0.1, 0.15], np.float32)
+#: Kinds of candidates: a dot; a mark with closers behind it; a space in Thai; another mark; a semicolon before an item; a colon before the first item.
+DOT, CLOSED, THAI, HARD, ITEM, LEAD = range(6)
+#: The chance that is enough for each kind where too few reliable boundaries of it are known to fit one.
+LEAST = np.array([0.2, 0.1, 0.15, 0, 0, 0], np.float32)
 HAN, LATIN, DIGIT, THAI_SCRIPT = 1, 4, 9, 8
 
 
@@ -139,8 +141,8 @@ class Layout:
         return (opened & num[1] & (shut[2] | (num[2] & shut[3]))) | (t["han_numeral"][x[0]] & ((x[1] == ord("是")) | (x[1] == ord("、")))) | t["circled"][x[0]] | (digit[0] & ((stop[1] & ~digit[2]) | (digit[1] & stop[2] & ~digit[3])))
 
 
-def candidates(x: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sure boundaries; and the candidates to classify: end, place of the mark and kind. All places are those of the last character of a unit."""
+def candidates(x: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates to classify within paragraphs: end, place of the mark and kind. Places are those of the last character of a unit."""
     t, c, gap, n = tables(), x.c, x.gap, len(x.c)
     term = t["hard"][c] | t["dot"][c]
     either = term | x.closer
@@ -159,25 +161,25 @@ def candidates(x: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     keep = ~inside & ~glued & ~t["comma"][after]
     ends, mark, dot = ends[keep], mark[keep], dot[keep]
     plain = ends == mark
-    sure = [x.last, ends[plain & ~dot]]
-    unsure = ~(plain & ~dot)
-    ends, mark, kind = ends[unsure], mark[unsure], np.where(plain[unsure], DOT, CLOSED)
+    kind = np.where(plain, np.where(dot, DOT, HARD), CLOSED)
+    numbering = (mark - x.first[x.paragraph[mark]] < 4) & (kind != HARD)  # such as "1." or "##" before a heading
+    found = [(ends[~numbering], mark[~numbering], kind[~numbering])]
     # enumerations of Chinese: items closed by a semicolon, and the words before the first item
     semi = np.flatnonzero(((c == ord("；")) | ((c == ord(";")) & t["cjk"][c[np.maximum(x.index - 1, 0)]])) & (gap < 3) & (x.depth == 0))
     semi = semi[x.marker(semi + 1)]
-    sure.append(semi)
+    found.append((semi, semi, np.full(len(semi), ITEM)))
     if len(semi):
         colon = np.flatnonzero(((c == ord("：")) | (c == ord(":"))) & (gap < 3) & (x.depth == 0))
         colon = colon[x.marker(colon + 1) & np.isin(x.paragraph[colon], x.paragraph[semi])]
         first = np.isin(x.padded[colon + 1], [ord(s) for s in "一1①"]) | np.isin(x.padded[colon + 2], [ord(s) for s in "一1"])
-        sure.append(colon[first])
+        found.append((colon[first], colon[first], np.full(int(first.sum()), LEAD)))
     thai = np.flatnonzero((gap[:-1] > 0) & (gap[:-1] < 3) & (x.script[1:] == THAI_SCRIPT) & (x.depth[:-1] == 0) & ~term[:-1])
     if len(thai):
         share = np.bincount(x.paragraph, x.script == THAI_SCRIPT) / np.bincount(x.paragraph)
         thai = thai[share[x.paragraph[thai]] > 0.5]
-        ends, mark, kind = np.concatenate([ends, thai]), np.concatenate([mark, thai]), np.concatenate([kind, np.full(len(thai), THAI)])
-    numbering = mark - x.first[x.paragraph[mark]] < 4  # such as "1." or "##" before a heading
-    return np.concatenate(sure), ends[~numbering], mark[~numbering], kind[~numbering]
+        thai = thai[thai - x.first[x.paragraph[thai]] >= 4]
+        found.append((thai, thai, np.full(len(thai), THAI)))
+    return tuple(np.concatenate(v) for v in zip(*found))
 
 
 def features(x: Layout, ends: np.ndarray, mark: np.ndarray, kind: np.ndarray, right: np.ndarray | None = None) -> np.ndarray:
@@ -199,16 +201,17 @@ def features(x: Layout, ends: np.ndarray, mark: np.ndarray, kind: np.ndarray, ri
     behind = [x.hash.of(np.maximum(left + 1 - i, begin), left + 1) for i in (2, 4)]
     u = lambda v: np.asarray(v).astype(np.uint64)
     columns = [u(c[mark]), token, u(shape), u(after), following, *ahead, u(shape // 64 * 1000 + after), *behind, u(c[ends]) * np.uint64(0x10001) + ahead[0], mix(u(digits)) + following]
-    return hashed([mix(v + k) for v in columns])
+    shared = [following, *ahead[1:], u(after)]  # what sentences begin with, whatever ends the one before
+    return hashed([*(mix(v + k) for v in columns), *shared])
 
 
 def fit(texts: pa.Array) -> MaxEnt:
     """Fitted on the texts of a sample; each row may hold several paragraphs."""
     x = Layout(*decode(texts))
     if len(x.c) < 2:
-        return MaxEnt(np.zeros(1 << 18, np.float32), np.ones(3, np.float32))
+        return MaxEnt.untrained(LEAST)
     t = tables()
-    _, ends, mark, kind = candidates(x)
+    ends, mark, kind = candidates(x)
     # reliable: a body paragraph that ends with a mark, or is Thai, and the start of another one
     size = x.last - x.first + 1
     final = t["hard"][x.c[x.last]] | t["dot"][x.c[x.last]] | x.closer[x.last] | (x.script[x.last] == THAI_SCRIPT)
@@ -224,13 +227,14 @@ def fit(texts: pa.Array) -> MaxEnt:
     only_closers = np.maximum.accumulate(np.where(term | x.closer, -1, x.index))[end] < last_mark
     thai = (x.script[end] == THAI_SCRIPT) & ~term[end]
     dot = t["dot"][x.c[last_mark]] & ~t["cjk"][x.c[np.maximum(last_mark - 1, 0)]]
-    use = thai | (only_closers & (last_mark >= x.first[p]) & (dot | (last_mark < end)))
+    use = thai | (only_closers & (last_mark >= x.first[p]))
     good_end, good_mark = end[use], np.where(thai, end, last_mark)[use]
-    good_kind = np.where(thai, THAI, np.where(last_mark == end, DOT, CLOSED))[use]
+    good_kind = np.where(thai, THAI, np.where(last_mark < end, CLOSED, np.where(dot, DOT, HARD)))[use]
     all_kinds = np.concatenate([good_kind, kind])
     right = np.concatenate([x.first[after[use]], ends + 1])
     all_features = features(x, np.concatenate([good_end, ends]), np.concatenate([good_mark, mark]), all_kinds, right)
-    return MaxEnt.fit(all_features, np.arange(len(all_kinds)) < len(good_kind), all_kinds, 3)
+    broken = (kind >= ITEM) & (x.gap[ends] == 2)
+    return MaxEnt.fit(all_features, np.concatenate([np.ones(len(good_kind), bool), broken]), all_kinds, LEAST)
 
 
 def units(points: np.ndarray, offsets: np.ndarray, model: MaxEnt) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,12 +242,11 @@ def units(points: np.ndarray, offsets: np.ndarray, model: MaxEnt) -> tuple[np.nd
     x = Layout(points, offsets)
     if not len(x.c):
         return (np.zeros(0, np.int64),) * 3
-    sure, ends, mark, kind = candidates(x)
-    if len(ends):
-        ends = ends[model.chance(features(x, ends, mark, kind), kind) > LEAST[kind]]
+    ends, mark, kind = candidates(x)
     is_end = np.zeros(len(x.c), bool)
-    is_end[sure] = True
-    is_end[ends] = True
+    is_end[x.last] = True
+    if len(ends):
+        is_end[ends[model.accepts(features(x, ends, mark, kind), kind)]] = True
     last = np.flatnonzero(is_end)
     first = np.concatenate([[0], last[:-1] + 1])
     base = offsets[x.row[last]]

@@ -55,3 +55,20 @@ def test_rows_repeat_and_nulls(spark, model):
 
 def test_empty_table(spark):
     assert sentences.sentence_units(spark.createDataFrame([], "k string, t string"), "k", "t").count() == 0
+
+
+def test_every_candidate_is_classified():
+    rng = random.Random(4)
+    plain = [f"{who}{what}。" for who in ("种植大户", "县财政局", "村民委员会", "首次申请的主体") for what in ("应在七日内核对台账", "须提交身份证明和用款计划", "负责解释并公布名单")]
+    texts = pa.array(["".join(rng.choices(plain, k=3)) + "\n\n" + "".join(rng.choices(plain, k=3)) for _ in range(120)])
+    model = sentences.fit(texts)
+    points, offsets = decode(texts)
+    assert len(sentences.units(points, offsets, model)[0]) == 6 * 120
+    model.least[:] = 2  # a model that accepts nothing leaves only the ends of paragraphs
+    assert len(sentences.units(points, offsets, model)[0]) == 2 * 120
+
+
+def test_thresholds_are_fitted_where_examples_suffice():
+    texts = pa.array([f"第{k}条贷款由县农业农村局核准。逾期未办的视为放弃申请！\n\n种植大户应当在{k}日内提交身份证明和用款计划，不得拖延。" for k in range(60)])
+    model = sentences.fit(texts)
+    assert model.least[sentences.HARD] != sentences.LEAST[sentences.HARD] and model.least[sentences.THAI] == sentences.LEAST[sentences.THAI]
