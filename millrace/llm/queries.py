@@ -32,6 +32,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_restored(spark, folder).select("doc_id", "para_no").distinct()
 
 
+def p3_raw_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole texts with garbled passages, restored."""
+    docs = table(spark, folder, "source_document")
+    return encodings.restored_texts(docs, "doc_id", "raw_text", encodings.train(docs, "doc_id", "paragraphs"))
+
+
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "kb_chunk")
     items = splitting.chunk_items(chunks).unionByName(splitting.paragraph_items(table(spark, folder, "source_document")))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_paragraphs": p1_paragraphs,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p3_raw_text": p3_raw_text,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,

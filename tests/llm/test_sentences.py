@@ -69,6 +69,6 @@ def test_every_candidate_is_classified():
 
 
 def test_thresholds_are_fitted_where_examples_suffice():
-    texts = pa.array([f"第{k}条贷款由县农业农村局核准。逾期未办的视为放弃申请！\n\n种植大户应当在{k}日内提交身份证明和用款计划，不得拖延。" for k in range(60)])
+    texts = pa.array([f"第{k}条贷款由县农业农村局核准。逾期未办的视为放弃申请！\n\n种植大户应当在{k}日内提交身份证明和用款计划，由村民委员会核对台账后报县财政局，不得拖延。" for k in range(60)])
     model = sentences.fit(texts)
     assert model.least[sentences.HARD] != sentences.LEAST[sentences.HARD] and model.least[sentences.THAI] == sentences.LEAST[sentences.THAI]
