@@ -11,6 +11,7 @@ the limit but not with its overlap is a core of its own and gets a shorter overl
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,28 +27,31 @@ LIMIT, OVERLAP = 800, 100
 #: Strengths of boundaries, from an arbitrary cut to the end of a paragraph.
 ANY, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 CLAUSE_MARKS = "，、；：,;:）)」』”’"
+#: What boundaries within an item stand at, found in one pass.
+_STOPS = re.compile(f"[{re.escape(CLAUSE_MARKS)}\n]")
+_SPACES = re.compile(r"\s*")
+_WORDS = re.compile(r"\S+")
 
 
 def boundaries(text: str, unit_ends: list[int]) -> dict[int, int]:
     """Place (where the next segment would begin) -> strength of each natural boundary within the text. White space goes with the segment before it."""
     out: dict[int, int] = {}
     n = len(text)
-
-    def after_space(p: int) -> int:
-        while p < n and text[p].isspace():
-            p += 1
-        return p
-
-    for p, c in enumerate(text):
-        if c == "\n" or c in CLAUSE_MARKS:
-            q = after_space(p + 1)
-            strength = (PARAGRAPH if text[p:q].count("\n") > 1 else LINE) if c == "\n" else CLAUSE
-            inside_number = strength == CLAUSE and 0 < p < n - 1 and text[p - 1].isdigit() and text[p + 1].isdigit()
-            if not inside_number:
-                out[q] = max(out.get(q, 0), strength)
+    after_space = lambda p: _SPACES.match(text, p).end()
+    q = 0
+    for m in _STOPS.finditer(text):
+        p = m.start()
+        if p < q and text[p] == "\n":
+            continue  # within the white space that an earlier line break began
+        if text[p] == "\n":
+            q = after_space(p)
+            out[q] = max(out.get(q, 0), PARAGRAPH if text.count("\n", p, q) > 1 else LINE)
+        elif not (0 < p < n - 1 and text[p - 1].isdigit() and text[p + 1].isdigit()):
+            e = after_space(p + 1)
+            out[e] = max(out.get(e, 0), CLAUSE)
     for e in unit_ends:
-        q = after_space(e)
-        out[q] = max(out.get(q, 0), SENTENCE)
+        e = after_space(e)
+        out[e] = max(out.get(e, 0), SENTENCE)
     out.pop(0, None)
     out.pop(n, None)
     return out
@@ -97,23 +101,22 @@ def pieces(text: str, unit_ends: list[int], limit: int = LIMIT, overlap: int = O
         raise ValueError("the overlap must be smaller than the limit")
     marks = boundaries(text, unit_ends)
     ends = {0, len(text)}
-    for e in unit_ends:
-        while e < len(text) and text[e].isspace():
-            e += 1
-        ends.add(e)
+    ends |= {_SPACES.match(text, e).end() for e in unit_ends}
     ends = sorted(ends)
     uncut = frozenset((a, b) for a, b in zip(ends, ends[1:]) if limit - overlap < b - a <= limit)  # these stay whole and get a shorter overlap
-    within = {p for a, b in uncut for p in range(a + 1, b)}
-    cuts, strength = segments(text, {p: s for p, s in marks.items() if p not in within}, limit - overlap, uncut)
+    places = np.array(sorted(marks), np.int64)
+    whole = np.array(sorted(uncut), np.int64).reshape(-1, 2)
+    at = np.searchsorted(whole[:, 0], places) - 1  # the last that begins before the place
+    within = (at >= 0) & (places < whole[np.maximum(at, 0), 1]) if len(whole) else np.zeros(len(places), bool)
+    cuts, strength = segments(text, {p: marks[p] for p in places[~within].tolist()}, limit - overlap, uncut)
     kept = merge(cuts, strength, limit - overlap)
-    natural = np.array(sorted(marks), dtype=np.int64)
     out = []
     for a, b in zip(kept, kept[1:]):
         start = a
         if a and overlap:
             low = max(0, a - min(overlap, limit - (b - a)))
-            inside = natural[(natural >= low) & (natural < a)]
-            start = int(inside[0]) if len(inside) else low
+            k = int(np.searchsorted(places, low))
+            start = int(places[k]) if k < len(places) and places[k] < a else low
         out.append((start, a, b))
     return out
 
@@ -137,34 +140,30 @@ def split(items: DataFrame, model: MaxEnt, limit: int = LIMIT, overlap: int = OV
             for k, item in enumerate(batch.to_pylist()):
                 text, a, b = item["text"], at[k], at[k + 1]
                 forced = int((end[a:b] - start[a:b] > limit).any())
-                for number, (s, core, e) in enumerate(pieces(text, end[a:b].tolist(), limit, overlap)):
-                    out.append((item["field_name"], item["record_id"], item["item_no"], number, s, core, e, text[s:e], _range(text, s, e, item["first_paragraph"], item["last_paragraph"]), forced))
+                cut = pieces(text, end[a:b].tolist(), limit, overlap)
+                for number, ((s, core, e), touched) in enumerate(zip(cut, ranges(text, cut, item["first_paragraph"], item["last_paragraph"]))):
+                    out.append((item["field_name"], item["record_id"], item["item_no"], number, s, core, e, text[s:e], touched, forced))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
 
     wanted = items.select("field_name", "record_id", "item_no", "text", "first_paragraph", "last_paragraph").where(F.char_length("text") > limit).distinct()
     return wanted.mapInArrow(run, schema)
 
 
-def _range(text: str, start: int, end: int, first: int | None, last: int | None) -> dict[str, int] | None:
-    """The paragraphs that text[start:end] touches; paragraphs are separated by blank lines."""
+def ranges(text: str, cut: list[tuple[int, int, int]], first: int | None, last: int | None) -> list[dict[str, int] | None]:
+    """The paragraphs that each piece text[start:end] touches; paragraphs are separated by blank lines. A piece without words has the paragraph before it."""
     if first is None or last is None:
-        return None
-    breaks = _breaks(text, start)
-    inside = _breaks(text[start:end].strip(), None)
-    return {"start": min(first + breaks, last), "end": min(first + breaks + inside, last)}
-
-
-def _breaks(text: str, until: int | None) -> int:
-    """Blank lines between words of the text before ``until``."""
-    head = text if until is None else text[:until]
-    count, lines, seen = 0, 0, False
-    for c in head:
-        if c == "\n":
-            lines += 1
-        elif not c.isspace():
-            count += seen and lines > 1
-            seen, lines = True, 0
-    return count + (until is not None and seen and lines > 1)
+        return [None] * len(cut)
+    words = np.array([m.span() for m in _WORDS.finditer(text)], np.int64).reshape(-1, 2)
+    gaps = [text.count("\n", a, b) > 1 for a, b in zip(words[:-1, 1].tolist(), words[1:, 0].tolist())]
+    number = np.concatenate([[0], np.cumsum(gaps)]) if len(words) else np.zeros(1, np.int64)
+    out = []
+    for s, _, e in cut:
+        a = min(int(np.searchsorted(words[:, 1], s, "right")), max(len(words) - 1, 0))
+        b = max(int(np.searchsorted(words[:, 0], e)) - 1, 0)
+        if a > b:
+            a = b
+        out.append({"start": min(first + int(number[a]), last), "end": min(first + int(number[b]), last)})
+    return out
 
 
 def chunk_items(chunks: DataFrame) -> DataFrame:

@@ -50,3 +50,40 @@ def test_a_sentence_that_fits_the_limit_is_not_cut_inside():
     assert (len(first), len(first) + len(long)) in [(core, end) for _, core, end in got]
     assert all(end - start <= 800 for start, _, end in got) and all(core in (0, *ends) for _, core, _ in got)
     assert "".join(text[core:end] for _, core, end in got) == text
+
+
+def test_ranges_are_those_of_the_paragraphs_that_a_piece_touches():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choices(["字", "a", " ", "\n", "\n\n", "。"], weights=[6, 3, 1, 2, 1, 1], k=rng.randint(1, 120)))
+        paragraph, number, at = [], 0, 0
+        seen = False
+        while at < len(text):
+            if text[at].isspace():
+                end = at
+                while end < len(text) and text[end].isspace():
+                    end += 1
+                number += seen and end < len(text) and text[at:end].count("\n") > 1
+                paragraph += [None] * (end - at)
+                at = end
+            else:
+                seen = True
+                paragraph.append(number)
+                at += 1
+        cuts = [(a, a, b) for a in range(0, len(text), 7) for b in (min(a + 11, len(text)),)]
+        for (a, _, b), got in zip(cuts, splitting.ranges(text, cuts, 5, 999)):
+            touched = [p for p in paragraph[a:b] if p is not None]
+            if touched:
+                assert got == {"start": 5 + touched[0], "end": 5 + touched[-1]}, text
+    assert splitting.ranges("字", [(0, 0, 1)], None, 3) == [None]
+
+
+def test_long_items_take_linear_time():
+    import time
+
+    rng = random.Random(2)
+    text = "".join(rng.choices("种植大户应当提交身份证明和用款计划，。；\n", k=1_000_000))
+    began = time.time()
+    parts = splitting.pieces(text, [i + 1 for i, c in enumerate(text) if c == "。"])
+    splitting.ranges(text, parts, 0, 10**6)
+    assert time.time() - began < 20 and "".join(text[c:e] for _, c, e in parts) == text
