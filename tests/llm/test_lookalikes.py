@@ -1,5 +1,11 @@
+import random
+import unicodedata
+
+import pyarrow as pa
 import pytest
 
+from millrace.functions.codepoints import decode, encode
+
 from millrace.llm import lookalikes
 
 CHANGED = [
@@ -31,6 +37,31 @@ def test_the_form_is_stable(spark, rows):
     assert not any(r.changed for r in lookalikes.one_form(again, "body", ["i"]).collect())
 
 
+def form(texts):
+    points, offsets, changed = lookalikes.normalise(*decode(pa.array(texts, pa.string())))
+    return encode(points, offsets).to_pylist(), changed.tolist()
+
+
+def test_marks_are_ordered_and_composed_as_in_form_c():
+    words = ["한국어 문장입니다 값", "Tiếng Việt có dấu: ặ ộ ữ ỗ", "שָׁלוֹם עֲלֵיכֶם", "e\u0302\u0323 e\u0323\u0302 \u00ea\u0323", "a\u0316\u0302", "o\u0304\u0328", "\u0c46\u0c56 \u09c7\u09be", "ế̂", "q\u0307\u0323", "กํ่า", "क़ क\u093c"]
+    for text in words:
+        for stored in (text, unicodedata.normalize("NFD", text), unicodedata.normalize("NFC", text)):
+            got, _ = form([stored])
+            assert got == [unicodedata.normalize("NFC", stored)], (stored, got)
+            assert form(got) == (got, [False])
+    rng = random.Random(7)
+    pool = ["a", "e", "o", "ê", "ặ", "\u0302", "\u0323", "\u0328", "\u0304", "\u0316", "\u0345", "한", "하", "\u1112", "\u1161", "\u11ab", "ש", "\u05c1", "\u05b8", "字", " "]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(3000)]
+    want = [unicodedata.normalize("NFC", t) for t in texts]
+    got, changed = form(texts)
+    assert got == want and changed == [a != b for a, b in zip(texts, want)]
+
+
+def test_more_look_alikes():
+    texts = ["\u13aa\u0441me", "l\u0251nd", "\u2173 \u216b", "ᎪᏟ Mill", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ"]
+    assert form(texts) == (["Acme", "land", "iv XII", "AC Mill", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ"], [True, True, True, True, False])
+
+
 def test_long_and_empty(spark):
     df = spark.createDataFrame([(1, "ａ字" * 300_000)], "i int, body string")
     r = lookalikes.one_form(df, "body", ["i"]).first()
