@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.codepoints import TOP, Hashes, decode, sliced
+from millrace.session import Stored
 
 RUN, GRAM, PASSAGE = 40, 12, 240
 K1, B = 1.2, 0.75
 #: Postings per block.
 BLOCK = 8
-#: Characters of evaluation items in one index; more items make more indexes, each passed over by itself.
-INDEX_CHARS = 8_000_000
+#: Characters of evaluation items in one index; more items make more indexes, built, shipped and passed over one after the other.
+INDEX_CHARS = 2_000_000
 #: Pairs of equal runs held at a time while a document is compared with an item.
 PAIRS = 1 << 20
 
@@ -66,6 +67,23 @@ def grams(points: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return at, Hashes(points).of(at, at + n)
 
 
+def _least(item: np.ndarray, weight: np.ndarray, before: np.ndarray, n: int, wide: int) -> np.ndarray:
+    """Per item the least sum of weights of ``wide`` n-grams in a row, those that are equal counted once; infinite for shorter items."""
+    out = np.full(n, np.inf)
+    size = np.bincount(item, minlength=n)
+    start = np.cumsum(size) - size
+    total = np.concatenate([[0], np.cumsum(weight)])
+    again = np.flatnonzero((before >= 0) & (np.arange(len(item)) - before < wide))
+    change = np.zeros(len(item) + 1)  # by the first place of a window: the weights that it counts again
+    np.add.at(change, np.maximum(again - wide + 1, start[item[again]]), weight[again])
+    np.add.at(change, before[again] + 1, -weight[again])
+    at = np.arange(len(item) - wide + 1) if len(item) >= wide else np.zeros(0, np.int64)
+    sums = total[at + wide] - total[at] - np.cumsum(change)[at]
+    good = at + wide <= (start + size)[item[at]]
+    np.minimum.at(out, item[at[good]], sums[good])
+    return out
+
+
 class Index:
     """Items by number, their postings by n-gram with BM25 weights in blocks, and their thresholds."""
 
@@ -80,33 +98,28 @@ class Index:
         n = max(len(ids), 1)
         length = np.bincount(item, minlength=n).astype(float)
         average = max(length[length > 0].mean() if (length > 0).any() else 1.0, 1.0)
-        pairs, tf = np.unique(np.stack([h, item.astype(np.uint64)]), axis=1, return_counts=True)
-        self.terms, first, df = np.unique(pairs[0], return_index=True, return_counts=True)
-        self.start = np.append(first, pairs.shape[1])
-        self.items = pairs[1].astype(np.int64)
+        order = np.lexsort((item, h))
+        own_h, own_item = h[order], item[order]
+        fresh = np.concatenate([[True], (own_h[1:] != own_h[:-1]) | (own_item[1:] != own_item[:-1])])[: len(order)]
+        head = np.flatnonzero(fresh)
+        tf = np.diff(np.append(head, len(order)))
+        terms, self.items = own_h[head], own_item[head]
+        first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)])
+        self.terms, self.start = terms[first], np.append(first, len(terms))
+        df = np.diff(self.start)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.items] / average))
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        # the least score of any run of the item: its n-grams, each counted once as in a query
-        self.least = np.full(n, np.inf)
-        weight_of = {(int(t), int(i)): w for t, i, w in zip(pairs[0], self.items, self.weights)}
-        for i in range(len(ids)):
-            own = h[item == i]
-            if len(own) < run - GRAM + 1:
-                continue
-            w = np.array([weight_of[(int(t), i)] for t in own])
-            if len(np.unique(own)) == len(own):
-                total = np.concatenate([[0], np.cumsum(w)])
-                self.least[i] = (total[run - GRAM + 1 :] - total[: -(run - GRAM + 1)]).min()
-            else:
-                self.least[i] = min(sum(weight_of[(int(t), i)] for t in np.unique(own[s : s + run - GRAM + 1])) for s in range(len(own) - run + GRAM))
-        self.least *= 1 - 1e-9
+        # the least score of any run of an item: its n-grams, each counted once as in a query
+        weight = np.zeros(len(h))
+        weight[order] = self.weights[np.cumsum(fresh) - 1]
+        before = np.full(len(h), -1)  # where the same n-gram of the item stands last before
+        before[order[1:]] = np.where(fresh[1:], -1, order[:-1])
+        self.least = _least(item, weight, before, n, run - GRAM + 1) * (1 - 1e-8)
         self.floor = self.least.min() if len(self.least) else np.inf
         bits = 20
         self.sieve = np.zeros(1 << bits, bool)
         self.sieve[(self.terms >> np.uint64(64 - bits)).astype(np.int64)] = True
-        _, runs = grams(self.points, self.offsets, run)
-        self.runs = np.unique(runs)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The term's number of each hash, or -1."""
@@ -252,27 +265,25 @@ def _search_batch(texts: pa.Array, index: Index) -> list[tuple[int, int, int, bo
     return [(r, i, *found) for (r, i), found in out.items() if found]
 
 
-def indexes(items: DataFrame, run: int = RUN, most: int = INDEX_CHARS) -> list[Index]:
-    """The items in as many indexes as their size needs; each goes to the executors by itself."""
-    out, block, size = [], [], 0
+def indexes(items: DataFrame, run: int = RUN, most: int = INDEX_CHARS) -> Iterator[Index]:
+    """The items in as many indexes as their size needs, one at a time."""
+    block, size = [], 0
     for r in items.select("item_id", "passage", "question").where("passage is not null").orderBy("item_id").toLocalIterator():
         block.append(r)
         size += len(r.passage)
         if size >= most:
-            out.append(Index(*map(list, zip(*block)), run))
+            yield Index(*map(list, zip(*block)), run)
             block, size = [], 0
     if block:
-        out.append(Index(*map(list, zip(*block)), run))
-    return out
+        yield Index(*map(list, zip(*block)), run)
 
 
-def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, most: int = INDEX_CHARS) -> DataFrame:
     """One row per document and item that share at least ``run`` characters in a row: key, item_id, the longest shared stretch and whether any touches the item's question and its answer. Null texts leak nothing; repeated rows count once."""
     wanted = docs.select(key, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("item_id bigint, shared int, in_question boolean, in_answer boolean").fields])
 
-    def pass_over(index: Index) -> DataFrame:
-        shipped = docs.sparkSession.sparkContext.broadcast(index)
+    def pass_over(shipped) -> DataFrame:
 
         def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shipped.value
@@ -286,7 +297,16 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
         return wanted.mapInArrow(run_batches, schema)
 
-    parts = [pass_over(index) for index in indexes(items, run)]
+    context, blocks, parts = docs.sparkSession.sparkContext, indexes(items, run, most), []
+    index = next(blocks, None)
+    while index is not None:
+        shipped, index = context.broadcast(index), None  # the driver holds one index at a time
+        index = next(blocks, None)
+        if index is None and not parts:
+            parts.append(pass_over(shipped))
+        else:
+            parts.append(Stored(pass_over(shipped)).rows)
+            shipped.destroy()
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     found = parts[0]

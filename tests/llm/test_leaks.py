@@ -85,7 +85,39 @@ def test_block_max_wand_equals_scoring_all(tables):
 
 def test_items_in_several_indexes(spark, tables):
     items = spark.createDataFrame(tables[1], "item_id bigint, question string, passage string")
-    assert len(leaks.indexes(items, most=500)) > 3
+    assert len(list(leaks.indexes(items, most=500))) > 3
+    docs = spark.createDataFrame(tables[0], "doc_id bigint, text string")
+    want = {tuple(r) for r in leaks.leaked(docs, items).collect()}
+    assert want and {tuple(r) for r in leaks.leaked(docs, items, most=500).collect()} == want
+
+
+def test_the_least_score_of_a_run_is_exact():
+    rng = random.Random(5)
+    for _ in range(100):
+        sizes = [rng.randint(0, 30) for _ in range(5)]
+        item = leaks.np.repeat(leaks.np.arange(5), sizes)
+        gram = leaks.np.array([rng.randrange(6) for _ in item], int)
+        value = {(i, g): rng.random() for i in range(5) for g in range(6)}
+        weight = leaks.np.array([value[i, g] for i, g in zip(item.tolist(), gram.tolist())])
+        before, last = leaks.np.full(len(item), -1), {}
+        for k, pair in enumerate(zip(item.tolist(), gram.tolist())):
+            before[k] = last.get(pair, -1)
+            last[pair] = k
+        got = leaks._least(item, weight, before, 5, 7)
+        for i in range(5):
+            own = gram[item == i].tolist()
+            want = min((sum(value[i, g] for g in set(own[s : s + 7])) for s in range(len(own) - 6)), default=float("inf"))
+            assert got[i] == pytest.approx(want)
+
+
+def test_a_large_index_is_built_in_bounded_time():
+    import time
+
+    rng = random.Random(3)
+    passages = ["".join(rng.choices("贷款期限申请条件养殖大户提交身份证明核对台账备案登记", k=400)) for _ in range(1000)]
+    began = time.time()
+    index = leaks.Index(list(range(1000)), passages, passages)
+    assert time.time() - began < 20 and leaks.np.isfinite(index.least).all()
 
 
 def test_empty_tables(spark):
