@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from millrace.functions.codepoints import sliced
 from millrace.session import checkpointed
 
-#: Where the vocabularies lie, and which one counts.
+#: Where the vocabularies lie on every executor (a setting of the session may name another folder), and which one counts.
+FOLDER_SETTING = "spark.millrace.tokenizers"
 VOCABULARIES, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public split pattern of byte-level BPE of this kind.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,8 +57,9 @@ def canonical(source: Column | str) -> Column:
     return F.when(plain != "", plain)
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str, folder: str = VOCABULARIES, name: str = VOCABULARY) -> DataFrame:
+def sized(docs: DataFrame, key: str, text: str, source: str, folder: str | None = None, name: str = VOCABULARY) -> DataFrame:
     """key, source (canonical) and tokens of each document; null and empty texts have 0."""
+    folder = folder or docs.sparkSession.conf.get(FOLDER_SETTING, VOCABULARIES)
     wanted = docs.select(key, canonical(F.col(source).cast("string")).alias("source"), F.col(text).cast("string").alias("__text"))
     schema = T.StructType([docs.schema[key], T.StructField("source", T.StringType()), T.StructField("tokens", T.LongType())])
 
@@ -179,3 +181,10 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     report = report.withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "rows": F.coalesce("rows", F.lit(0)), "epochs": F.coalesce("epochs", F.lit(0))}).withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
     ordered = mixed.repartitionByRange("mix_id", "position").sortWithinPartitions("mix_id", "position", key)
     return ordered, report
+
+
+def bands(mixed: DataFrame, many: int = 10) -> DataFrame:
+    """Of each mix, source and band of training positions (0 to many - 1): tokens, and the share of the band's tokens."""
+    band = F.least(F.lit(many - 1), F.floor(F.col("position") * many)).cast("int")
+    sums = mixed.withColumn("band", band).groupBy("mix_id", "source", "band").agg(F.sum("tokens").alias("tokens"))
+    return sums.withColumn("share", F.col("tokens") / F.sum("tokens").over(W.partitionBy("mix_id", "band")))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from millrace.llm import encodings, leaks, lookalikes, mixing, neardup, quality, sentences, splitting
 from millrace.session import table
 
+#: The dictionary of common words is held by every task.
+MOST_WORDS = 100_000
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "kb_chunk"), "chunk_id", "chunk_text")
@@ -98,8 +101,15 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"), schedules=mixing.tilted)[1]
 
 
+def p8_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source gives in each tenth of training."""
+    return mixing.bands(p8_mixture(spark, folder))
+
+
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    words = [r[0] for r in table(spark, folder, "common_word").select("word").distinct().collect()]  # a dictionary of fixed size
+    words = [r[0] for r in table(spark, folder, "common_word").select("word").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"a dictionary of more than {MOST_WORDS} common words")
     return quality.statistics(table(spark, folder, "documents"), "doc_id", "text", words)
 
 
@@ -123,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_leaks": p7_leaks,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_bands": p8_bands,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from millrace.llm import mixing, queries
@@ -54,6 +55,22 @@ def test_registered_queries_vary_the_mix_over_time(spark, monkeypatch):
     assert abs(report["rare"] - 0.4) < 0.01 and abs(report["plenty"] - 0.6) < 0.01
 
 
+def test_bands_follow_the_integral_of_the_schedule(spark, sizes):
+    knots = {"a": [(0.0, 1.5), (1.0, 0.5)], "b": [(0.0, 0.2), (0.4, 2.0), (1.0, 0.2)]}
+    mixed, _ = mix(spark, sizes, [(1, "a", 0.6, 3, 0.5), (1, "b", 0.4, 9, 0.5)], schedules={1: knots})
+    got = {(r.source, r.band): r.tokens for r in mixing.bands(mixed, 5).collect()}
+    for source, points in knots.items():
+        grid = np.linspace(0, 1, 100_001)
+        weight = np.interp(grid, *zip(*points))
+        part = np.array([weight[(grid >= k / 5) & (grid < (k + 1) / 5)].sum() for k in range(5)]) / weight.sum()
+        total = sum(v for (s, _), v in got.items() if s == source)
+        assert all(abs(got[source, k] / total - part[k]) < 0.03 for k in range(5)), source
+    by_band = {}
+    for r in mixing.bands(mixed, 5).collect():
+        by_band[r.band] = by_band.get(r.band, 0) + r.share
+    assert all(abs(v - 1) < 1e-9 for v in by_band.values())
+
+
 def test_tokens_and_names(spark):
     docs = spark.createDataFrame([(1, "hello world, hello", "County-Notice "), (2, None, None), (3, "", " ")], "doc_id bigint, text string, source string")
     rows = {r.doc_id: r for r in mixing.sized(docs, "doc_id", "text", "source").collect()}
