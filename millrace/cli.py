@@ -1,16 +1,17 @@
-"""python -m millrace.cli ingest | index | ask"""
+"""python -m millrace.cli ingest | index | ask | serve"""
 
 from __future__ import annotations
 
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import index
 from millrace.plans.ask import Engine
 from millrace.plans.ingest import ingest
+from millrace.service import serve
 from millrace.sources import records
 
 
@@ -29,9 +30,15 @@ def main(args: list[str] | None = None) -> int:
     b.add_argument("--output", required=True)
     c = kinds.add_parser("ask", help="a question over chunks")
     c.add_argument("query")
-    c.add_argument("--data-dir", required=True)
-    c.add_argument("--chunk-path")
     c.add_argument("--region")
+    d = kinds.add_parser("serve", help="questions over HTTP")
+    d.add_argument("--port", type=int, default=8000)
+    for p in (c, d):
+        p.add_argument("--data-dir", required=True)
+        p.add_argument("--chunk-path")
+        p.add_argument("--index", help="a saved index; without one it is built")
+        p.add_argument("--sessions", help="the folder of sessions, by default below the data")
+    c.add_argument("--session-id")
     o = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"millrace {o.what}").getOrCreate()
     if o.what == "ingest":
@@ -42,12 +49,21 @@ def main(args: list[str] | None = None) -> int:
             built = index.build(chunks, "chunk_id", "chunk_text")
             built.save(o.output)
             out = index.summary(built)
+        elif o.what == "serve":
+            serve(spark, _engine(spark, chunks, o.index), o.sessions or f"{o.data_dir}/sessions", port=o.port).serve_forever()
+            return 0
+        elif o.session_id:
+            out = _engine(spark, chunks, o.index).ask_in_session(spark, o.sessions or f"{o.data_dir}/sessions", o.session_id, o.query, o.region)
         else:
-            out = Engine(chunks).ask_many(spark.createDataFrame([(1, o.query)], "query_id int, query string").withColumn("region", F.lit(o.region).cast("string")))
+            out = _engine(spark, chunks, o.index).ask_many(spark.createDataFrame([(1, o.query)], "query_id int, query string").withColumn("region", F.lit(o.region).cast("string")))
     for row in out.toJSON().collect():  # one row
         print(json.dumps(json.loads(row), ensure_ascii=False, indent=2))
     return 0
 
 
+def _engine(spark: SparkSession, chunks: DataFrame, saved: str | None) -> Engine:
+    return Engine(chunks, index.LexicalIndex.load(spark, saved) if saved else None)
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

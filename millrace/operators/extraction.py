@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text
 
@@ -26,8 +27,8 @@ REPAYMENT = r"(?:还款方式|还款要求|还款约束|偿还方式|到期还
 
 
 def candidates(evidence: Column, *more: Column) -> Column:
-    """The texts to look in, in order, blank ones left out, white space collapsed."""
-    return F.transform(F.filter(F.array(evidence, *more), lambda t: F.coalesce(text.trimmed(t), F.lit("")) != ""), text.collapsed)
+    """The texts to look in, in order, blank ones left out, white space collapsed. Each is a text or an array of texts."""
+    return F.transform(F.filter(F.concat(F.array(evidence), *more), lambda t: F.coalesce(text.trimmed(t), F.lit("")) != ""), text.collapsed)
 
 
 def _first(values: Column) -> Column:
@@ -87,7 +88,7 @@ def requirement(texts: Column, hints: tuple[str, ...]) -> Column:
 
 
 def listed(texts: Column, pattern: str) -> Column:
-    """All distinct matches in order, cleaned; the group if it matched, else the whole."""
+    """All distinct groups that matched, in order, cleaned."""
 
     def clean(c: Column) -> Column:
         bare = F.regexp_replace(text.collapsed(c), "^[：:，,、 ]+|[：:，,、 ]+$", "")
@@ -105,8 +106,8 @@ def percentages(texts: Column) -> Column:
 
 
 def extract(rows: DataFrame, evidence: str = "evidence_text", more: tuple[str, ...] = ()) -> DataFrame:
-    """The rows with interest_rate, subsidy_rate, effective_rate (percent), loan_term_months, loan_amount_upper_limit, the two requirements with their sentences, three lists and all percentages. Null texts give nulls and empty lists."""
-    out = rows.withColumn("__texts", candidates(F.col(evidence), *(F.col(c) for c in more)))
+    """The rows with what ``evidence`` and then ``more`` (columns of texts, or of maps to texts) state: interest_rate, subsidy_rate, effective_rate (percent), loan_term_months, loan_amount_upper_limit, the two requirements with their sentences, three lists and all percentages. Null texts give nulls and empty lists."""
+    out = rows.withColumn("__texts", candidates(F.col(evidence), *(F.coalesce(F.map_values(c), F.array()) if isinstance(rows.schema[c].dataType, T.MapType) else F.array(c) for c in more)))
     texts = F.col("__texts")
     collateral, guarantee = requirement(texts, COLLATERAL), requirement(texts, GUARANTEE)
     out = out.withColumns(

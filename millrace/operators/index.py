@@ -23,6 +23,18 @@ class LexicalIndex:
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    #: Whether the tables lie in files, so that statistics are read and not made.
+    stored: bool = False
+
+    def frequencies(self, terms: DataFrame) -> DataFrame:
+        """term, df of these distinct terms. Where nothing is stored only their own postings are counted, not those of the whole vocabulary."""
+        if self.stored:
+            return self.term_stats.join(terms, "term", "left_semi")
+        return self.postings.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+    def release(self) -> None:
+        """Frees what ``build`` keeps."""
+        self.texts.unpersist()
 
     def save(self, path: str, buckets: int | None = None) -> None:
         """Written for reuse; the postings are ordered by term, so a reader can skip row groups without the query's terms."""
@@ -33,7 +45,7 @@ class LexicalIndex:
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("texts", "postings", "term_stats", "corpus")))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("texts", "postings", "term_stats", "corpus")), stored=True)
 
 
 def build(texts: DataFrame, key: str, column: str | Column) -> LexicalIndex:

@@ -24,10 +24,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return listed.select("query_id", "region", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("place", "term"))
 
 
-def _matches(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
-    """Postings of the queries' terms with their statistics. The statistics are those of the whole corpus, whatever region a query asks for."""
-    known = wanted.join(index.term_stats, "term")
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+def _few(wanted: DataFrame) -> bool:
+    return wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def _known(index: LexicalIndex, wanted: DataFrame, few: bool) -> DataFrame:
+    """term and df of the queries' terms. The statistics are those of the whole corpus, whatever region a query asks for."""
+    terms = wanted.select("term").distinct()
+    return index.frequencies(F.broadcast(terms) if few else terms)
+
+
+def _matches(index: LexicalIndex, wanted: DataFrame, few: bool) -> DataFrame:
+    """Postings of the queries' terms with their statistics."""
+    known = wanted.join(_known(index, wanted, few), "term")
     return _with_corpus(index.postings.join(F.broadcast(known) if few else known, "term"), index)
 
 
@@ -49,30 +58,34 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _with_terms(top: DataFrame, index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """The matched terms in query order, for the top rows only."""
+def _with_terms(top: DataFrame, index: LexicalIndex, queries: DataFrame, few: bool) -> DataFrame:
+    """The matched terms in query order, for the top rows only; few queries have few of them, so the texts need not move."""
     asked = queries.select("query_id", tokens.terms(F.col("query")).alias("q"))
-    return top.join(asked, "query_id").join(index.texts.select("id", "terms"), "id").withColumn("match_terms", F.array_intersect("q", "terms"))
+    best = top.join(asked, "query_id")
+    return (F.broadcast(best) if few else best).join(index.texts.select("id", "terms"), "id").withColumn("match_terms", F.array_intersect("q", "terms"))
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score, rank, match_terms. regions (id, region) is needed if queries ask for one. Ties keep the order of the ids; a query without known terms has no row."""
-    found = _in_region(_matches(index, query_terms(queries)), regions)
+    wanted = query_terms(queries)
+    few = _few(wanted)
+    found = _in_region(_matches(index, wanted, few), regions)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / average) + EPSILON)
     top = _top(found.groupBy("query_id", "id").agg(F.sum(weight).alias("score")), max(k, 0))
-    return _with_terms(top, index, queries).select("query_id", "id", "score", "rank", "match_terms")
+    return _with_terms(top, index, queries, few).select("query_id", "id", "score", "rank", "match_terms")
 
 
 def tfidf(index: LexicalIndex, queries: DataFrame, k: int = 5, regions: DataFrame | None = None) -> DataFrame:
     """As bm25. The norm of a text is that of the terms it shares with the query; the norm of the query is over all its terms, known or not."""
     wanted = query_terms(queries)
+    few = _few(wanted)
     idf = F.log(1 + (F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weights = _with_corpus(wanted.join(index.term_stats, "term", "left"), index).withColumn("w", idf / F.col("n_terms"))
+    weights = _with_corpus(wanted.join(_known(index, wanted, few), "term", "left"), index).withColumn("w", idf / F.col("n_terms"))
     norms = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    found = _in_region(_matches(index, wanted), regions)
+    found = _in_region(_matches(index, wanted, few), regions)
     own, asked = idf / F.greatest("length", F.lit(1)), idf / F.col("n_terms")
     sums = found.groupBy("query_id", "id").agg(F.sum(own * asked).alias("dot"), F.sqrt(F.sum(own * own)).alias("own"))
     scored = sums.join(norms, "query_id").withColumn("score", F.col("dot") / (F.col("norm") * F.col("own")))
-    return _with_terms(_top(scored, max(k, 0)), index, queries).select("query_id", "id", "score", "rank", "match_terms")
+    return _with_terms(_top(scored, max(k, 0)), index, queries, few).select("query_id", "id", "score", "rank", "match_terms")

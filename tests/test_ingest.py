@@ -43,13 +43,13 @@ def test_files_become_documents_and_no_file_ends_the_run(ingested):
     a = docs["a b.docx"]
     assert (a.region, a.title, a.parse_status) == ("fj", "申请指南", "success") and a.doc_id.startswith("fj:a_b:")
     assert (docs["empty.docx"].region, docs["empty.docx"].parse_status, docs["empty.docx"].ocr_needed, docs["empty.docx"].title) == ("北京", "partial", True, "empty")
-    assert docs["bad.docx"].parse_status == "failed" and docs["bad.docx"].parse_error.startswith("DOCX parse failed")
+    assert docs["bad.docx"].parse_status == "failed" and docs["bad.docx"].parse_error.startswith("The docx file cannot be read")
     assert docs["t.txt"].paragraphs == ["题目", "第一行\n第二行", "末段"] and docs["t.txt"].source_format_confidence == 0.92
     assert (docs["blank.txt"].parse_status, docs["blank.txt"].text_quality_flag, docs["blank.txt"].title) == ("partial", "empty", "blank")
     assert docs["m.md"].title == "题目" and docs["m.md"].paragraphs == ["# 题目", "正文。", "## 节", "内容。"]
     assert docs["sparse.pdf"].paragraphs == ["Hi", "OK"] and docs["sparse.pdf"].parse_status == "partial"
     assert docs["none.pdf"].parse_status == "failed" and docs["none.pdf"].ocr_needed
-    assert docs["p.png"].parse_status == "skipped" and docs["s.xls"].parse_error == "No parser registered for file type: xls"
+    assert docs["p.png"].parse_status == "skipped" and docs["s.xls"].parse_error == "Files of type xls have no parser."
 
 
 def test_report_and_manifest(ingested):
@@ -62,6 +62,17 @@ def test_report_and_manifest(ingested):
     assert ingested.manifest.where("length(checksum) = 64").count() == 10
 
 
+def test_outputs_are_replaced_as_a_whole(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("题目\n\n正文一。", encoding="utf-8")
+    out = str(tmp_path / "out")
+    ingest(spark, str(tmp_path / "in"), out)
+    (tmp_path / "in" / "b.txt").write_text("题目\n\n正文二。", encoding="utf-8")
+    again = ingest(spark, str(tmp_path / "in"), out)
+    assert again.documents.count() == 2 and not (tmp_path / "out" / "_staged").exists()
+    assert records.read_chunks(spark, records.resolve(out, "kb_chunks.jsonl")).count() == again.chunks.count() == 2
+
+
 def test_a_parser_may_be_added(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "s.xls").write_bytes(b"cell")

@@ -85,7 +85,10 @@ def test_evidence_prefers_the_direct_clause(spark, built, chunks):
 
 def test_engine_answers_a_batch(spark, chunks):
     rows = {r.query_id: r for r in Engine(chunks).ask_many(spark.createDataFrame([(1, "生猪贷款贴息"), (2, "zzz"), (3, None)], "query_id int, query string")).collect()}
-    assert rows[1].scenario in ("normal_hit", "weak_evidence") and rows[1].parameters.loan_amount_upper_limit == 500000.0
+    assert rows[1].scenario == "econ_parameterized" and rows[1].parameters.loan_amount_upper_limit == 500000.0
+    assert rows[1].uncertainty.missing_parameters == ["适用主体", "贷款期限", "利率"] and "50万元" in rows[1].final_response
+    assert rows[1].citations[0].source == "办法" and rows[1].citations[0].section == "贴息" and rows[1].citations[0].quote in rows[1].summary
+    assert rows[2].citations is None and len(rows[2].uncertainty.missing_parameters) == 5 and rows[2].uncertainty.warning
     assert rows[2].scenario == "no_result" and rows[3].scenario == "no_result"
 
 
@@ -93,3 +96,49 @@ def test_engine_carries_session_slots(spark, chunks):
     turns = spark.createDataFrame([(1, "s", 1, "想养猪借10万元"), (2, "s", 2, "期限呢"), (3, "t", 1, "不是合作社")], "query_id int, session_id string, turn int, query string")
     rows = {r.query_id: r for r in Engine(chunks).ask_sessions(turns).collect()}
     assert rows[2].amount == "10万元" and rows[2].crop_or_activity == "养猪" and rows[3].cooperative is False and rows[3].amount is None
+
+
+def test_parameters_are_also_read_from_the_chunk_of_the_evidence(spark):
+    text = "生猪养殖户可以申请贷款贴息支持政策。\n单户最高80万元，期限不超过18个月。"
+    chunks = spark.createDataFrame([("c:0", "d", "fj", "办法", text, None, {"file_name": "x"})], "chunk_id string, doc_id string, region string, source_title string, chunk_text string, section_title string, metadata map<string,string>")
+    row = Engine(chunks).ask_many(spark.createDataFrame([(1, "生猪养殖户贷款贴息")], "query_id int, query string")).first()
+    assert "80" not in row.citations[0].quote
+    assert row.parameters.loan_amount_upper_limit == 800000.0 and row.parameters.loan_term_months == 18
+
+
+def test_a_session_lives_across_questions(spark, chunks, tmp_path):
+    engine, store = Engine(chunks), str(tmp_path / "sessions")
+    first = engine.ask_in_session(spark, store, "s", "想养猪借10万元，生猪贷款贴息", region="sichuan").first()
+    second = engine.ask_in_session(spark, store, "s", "xyz").first()
+    other = engine.ask_in_session(spark, store, "t", "生猪贷款").first()
+    assert first.turn == 1 and second.turn == 2 and second.amount == "10万元" and second.crop_or_activity == "养猪"
+    assert first.region == second.region == "sichuan" and other.turn == 1 and other.amount is None and other.region is None
+
+
+def test_the_service_answers(spark, chunks, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from millrace.service import serve
+
+    server = serve(spark, Engine(chunks), str(tmp_path / "sessions"), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def post(body):
+        request = urllib.request.Request(f"{base}/ask", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        return json.loads(urllib.request.urlopen(request).read())
+
+    try:
+        assert json.loads(urllib.request.urlopen(f"{base}/health").read())["status"] == "ok"
+        got = post({"session_id": "s", "query": "生猪贷款贴息"})
+        assert got["scenario"] == "econ_parameterized" and got["citations"][0]["source"] == "办法" and got["session_id"] == "s"
+        for bad in ({"query": "x"}, {"session_id": "s", "user_query": " "}, []):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                post(bad)
+            assert e.value.code == 422
+    finally:
+        server.shutdown()
+        server.server_close()
