@@ -73,9 +73,9 @@ def _packed(parts: Column, most: int) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         full = (s["open"] != "") & (F.char_length(s["open"]) + F.char_length(x) > most)
-        return F.struct(F.when(full, F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]).alias("done"), F.when(full, x).otherwise(F.concat(s["open"], x)).alias("open"))
+        return F.struct(F.when(full, F.array_append(s["done"], trimmed(s["open"]))).otherwise(s["done"]).alias("done"), F.when(full, x).otherwise(F.concat(s["open"], x)).alias("open"))
 
-    return F.aggregate(parts, none, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], F.trim(s["open"]))).otherwise(s["done"]))
+    return F.aggregate(parts, none, step, lambda s: F.when(s["open"] != "", F.array_append(s["done"], trimmed(s["open"]))).otherwise(s["done"]))
 
 
 def sentences(c: Column, most: int = MAX_SENTENCE) -> Column:
@@ -88,7 +88,7 @@ def sentences(c: Column, most: int = MAX_SENTENCE) -> Column:
         marked, clauses = _cleaned(F.split(x, f"(?={MARKER})")), _cleaned(F.split(x, CLAUSE_END))
         return F.when(F.char_length(x) <= most, F.array(x)).when(F.size(marked) > 1, _packed(marked, most)).when(F.size(clauses) > 1, _packed(clauses, most)).otherwise(F.array(x))
 
-    fine = F.filter(F.transform(F.flatten(F.transform(coarse, finer)), F.trim), lambda x: F.char_length(x) > 0)
+    fine = F.filter(F.transform(F.flatten(F.transform(coarse, finer)), trimmed), lambda x: F.char_length(x) > 0)
 
     def join(done: Column, x: Column) -> Column:
         short = (F.size(done) > 0) & (F.char_length(x) <= SHORT_SENTENCE) & ~x.rlike(SHORT_MARKER)

@@ -30,7 +30,7 @@ def _first_rule(t: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 def turn_slots(turns: DataFrame, query: str = "query", evidence: str | None = "evidence") -> DataFrame:
     """The slots that each turn states; null where it states none. The text is the query and the turn's evidence lines."""
     asked = F.trim(F.coalesce(F.col(query), F.lit("")))
-    lines = F.filter(F.transform(F.coalesce(F.col(evidence), F.array().cast("array<string>")), F.trim), lambda x: x != "") if evidence else F.array().cast("array<string>")
+    lines = F.filter(F.transform(F.coalesce(F.col(evidence), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "") if evidence else F.array().cast("array<string>")
     t = F.array_join(F.filter(F.concat(F.array(asked), lines), lambda x: x != ""), "\n")
     match = lambda p: F.nullif(F.regexp_replace(F.regexp_extract(t, p, 1), r"(?U)\s+", ""), F.lit(""))
     slots = {"normalized_query": F.nullif(asked, F.lit("")), "purpose": _first_rule(t, PURPOSE), "amount": match(AMOUNT), "crop_or_activity": _first_rule(t, ACTIVITY), "duration": match(DURATION)}

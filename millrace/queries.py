@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text, tokens
 from millrace.operators import chunking, evidence, extraction, index, normalize, retrieval, session, units
+from millrace.plans import response
 from millrace.plans.ask import Engine
-from millrace.session import table
+from millrace.session import shared_folder, table
 from millrace.sources import files, records
 
 
@@ -24,8 +26,10 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document once, the last state of it."""
-    return table(spark, folder, "source_document").dropDuplicates(["doc_id"])
+    """Each document once, the last state of it; of states of one time, or without any, the one that is greatest as a row."""
+    rows = table(spark, folder, "source_document")
+    when = F.coalesce("ingestion_time", F.lit("1970-01-01").cast("timestamp"))
+    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*rows.columns), F.struct(when, "raw_text", "title", "parse_status")).alias("r")).select("r.*")
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,8 +53,12 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return index.summary(_index(spark, folder))
 
 
+def _listed(values: str) -> Column:
+    return F.array_join(F.array_sort(values), "|")
+
+
 def _scored(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+    return hits.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"), _listed("match_terms").alias("match_terms"))
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,11 +86,14 @@ def _evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def evidence_select(spark: SparkSession, folder: str) -> DataFrame:
-    return _evidence(spark, folder)[1]
+    chosen = _evidence(spark, folder)[1]
+    numbers = [F.col(f"metadata.{c}").alias(c) for c in ("coverage", "overlap", "jaccard", "lexical_density", "generic_penalty", "retrieval_rank")]
+    return chosen.select("query_id", "evidence_rank", "evidence_id", "chunk_id", "doc_id", "evidence_text", F.round("confidence", 6).alias("confidence"), "citation_text", *numbers, _listed("metadata.matched_terms").alias("matched_terms"))
 
 
 def evidence_confidence(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.confidence(*_evidence(spark, folder))
+    sure = evidence.confidence(*_evidence(spark, folder))
+    return sure.withColumns({"reasons": F.array_join("reasons", "|"), "matched_terms": _listed("matched_terms")})
 
 
 def headings(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +106,25 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk(sources(spark, folder)).drop("metadata")
+    made = chunking.chunk(sources(spark, folder))
+    return made.select("chunk_id", "doc_id", "region", "source_title", "chunk_text", "chunk_index", "section_title", F.col("paragraph_range.start").alias("first_paragraph"), F.col("paragraph_range.end").alias("last_paragraph"))
+
+
+def segment_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).where("text is not null").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("para_no", "paragraph"))
+
+
+def infer_titles(spark: SparkSession, folder: str) -> DataFrame:
+    stem = F.concat(F.lit("document-"), F.col("doc_id"))
+    return documents(spark, folder).where("text is not null").select("doc_id", text.title(text.paragraphs(F.col("text")), stem).alias("title"))
+
+
+def chunk_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks written as JSON lines and read again."""
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}.jsonl"
+    records.write_json(records.kb_chunks(chunks(spark, folder)), path)
+    rows = records.read_chunks(spark, path)
+    return rows.select("chunk_id", "doc_id", "region", "source_title", "chunk_text", "chunk_index", "section_title", "page_no", F.col("paragraph_range.start").alias("first_paragraph"), F.col("paragraph_range.end").alias("last_paragraph"), F.element_at("metadata", F.lit("source_path")).alias("source_path"))
 
 
 def kb_projection(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,16 +134,13 @@ def kb_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_ids(spark: SparkSession, folder: str) -> DataFrame:
     paths = table(spark, folder, "manifest_record").select("source_path").where("source_path is not null").distinct()
-    relative = F.regexp_replace("source_path", "^/data/raw/", "")
-    name = F.element_at(F.split("source_path", "/"), -1)
-    rows = paths.select("source_path", files.region(relative, F.col("source_path")).alias("region"), files.file_type(F.col("source_path")).alias("file_type"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), relative.alias("relative"))
-    return rows.select("source_path", "region", "file_type", F.concat_ws(":", "region", F.replace("stem", F.lit(" "), F.lit("_")), F.substring(F.sha1("relative"), 1, 10)).alias("doc_id"))
+    listed = paths.select(F.col("source_path").alias("path"), F.regexp_replace("source_path", "^/data/raw/", "").alias("relative"), F.lit(0).alias("length"), F.col("source_path").cast("binary").alias("content"))
+    return files.manifest(listed).select("source_path", "file_name", "region", "file_type", "doc_id", "checksum")
 
 
 def manifest_backfill(spark: SparkSession, folder: str) -> DataFrame:
     listed = table(spark, folder, "manifest_record").select("doc_id", "file_type", "file_size_bytes").distinct()
-    docs = table(spark, folder, "source_document").select("doc_id", "parse_status", "parse_error", "needs_manual_review").distinct()
-    return listed.join(docs, "doc_id", "left")
+    return files.with_results(listed, sources(spark, folder)).drop("ingestion_time")
 
 
 def report_counters(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,18 +168,29 @@ def session_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = table(spark, folder, "selected_evidence").select("evidence_id", "chunk_id", "confidence", "citation_text", F.col("metadata.source_title").alias("own_title")).distinct()
-    there = chunks(spark, folder).select("chunk_id", "source_title", "section_title")
-    some = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
-    return chosen.join(there, "chunk_id", "left").select("evidence_id", "chunk_id", some("source_title", "own_title").alias("title"), some("section_title").alias("section"), some("citation_text", "source_title").alias("citation"), F.round("confidence", 4).alias("confidence"))
+    chosen = table(spark, folder, "selected_evidence").distinct()
+    return response.citations(chosen, chunks(spark, folder)).select("evidence_id", "chunk_id", "doc_id", "source", "section", "citation_text", "quote", "confidence")
 
 
 def normalize_questions(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize.normalize_queries(questions(spark, folder)).select("query_id", "normalized_query", "detected_terms", "search_text")
+    """The questions as they are, and each with colloquial words before it."""
+    plain = questions(spark, folder)
+    spoken = plain.select((-F.col("query_id") - 1).alias("query_id"), F.concat(F.lit("我想借点钱买化肥，去年还有一点没还完；现在想续一下贷款 abc 吗？"), "query").alias("query"))
+    rows = normalize.normalize_queries(plain.union(spoken))
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(",", h["alias"], h["canonical_term"], h["category"], h["start"].cast("string"), h["end"].cast("string"))), "|")
+    return rows.select("query_id", "normalized_query", F.array_join("detected_terms", "|").alias("detected_terms"), "search_text", hits.alias("hits"))
 
 
 def ask(spark: SparkSession, folder: str) -> DataFrame:
-    return Engine(chunks(spark, folder)).ask_many(questions(spark, folder))
+    """The answers, flat."""
+    rows = Engine(chunks(spark, folder)).ask_many(questions(spark, folder))
+    first = F.col("citations")[0]
+    numbers = [F.col(f"parameters.{c}").alias(c) for c in ("interest_rate", "subsidy_rate", "loan_term_months", "loan_amount_upper_limit", "collateral_required", "guarantee_required")]
+    lists = [F.array_join(f"parameters.{c}", "|").alias(c) for c in ("target_entities", "usage_restrictions", "repayment_constraints")]
+    return rows.select(
+        "query_id", "normalized_query", "scenario", F.size(F.coalesce("citations", F.array())).alias("n_citations"), *(first[c].alias(c) for c in ("evidence_id", "source", "section", "citation_text", "quote")),
+        F.col("uncertainty.score").alias("confidence"), F.col("uncertainty.label").alias("label"), F.array_join("uncertainty.reasons", "|").alias("reasons"), F.array_join("uncertainty.missing_parameters", "|").alias("missing_parameters"), *numbers, *lists,
+    )
 
 
 def _quantities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -175,113 +212,14 @@ def p2_converted(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_documents, term_stats, corpus_stats, bm25_topk, bm25_region_topk, tfidf_topk, sentence_split, evidence_select, evidence_confidence, headings, sections, chunk_documents, kb_projection, document_ids, manifest_backfill, report_counters, extract_parameters, session_carried, session_latest, citations, normalize_questions, ask,
+        tokenize_documents, term_stats, corpus_stats, bm25_topk, bm25_region_topk, tfidf_topk, sentence_split, evidence_select, evidence_confidence, headings, sections, chunk_documents, segment_texts, infer_titles, chunk_records, kb_projection, document_ids, manifest_backfill, report_counters, extract_parameters, session_carried, session_latest, citations, normalize_questions, ask,
         p2_found, p2_converted,
     )
 }
 
-# ---- the same in SQL ----
-
-_HAN = "[\\x{4e00}-\\x{9fff}]+"
-
-
-def _terms_sql(rows: str, key: str, column: str) -> str:
-    """CTEs ending in terms(key, term) of the relation ``rows``."""
-    return f"""
-folded AS (SELECT {key} AS id, replace(lower({column}), 'ß', 'ss') AS t FROM {rows} WHERE {column} IS NOT NULL),
-pieces AS (SELECT id, unnest(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}]+')) AS p FROM folded),
-spans AS (SELECT id, unnest(regexp_extract_all(t, '{_HAN}')) AS s FROM folded),
-every AS (
-  SELECT id, p AS term FROM pieces WHERE length(p) > 1 AND NOT regexp_full_match(p, '{_HAN}')
-  UNION SELECT id, s FROM spans WHERE length(s) <= 8
-  UNION SELECT id, unnest(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) FROM spans WHERE length(s) >= 2
-  UNION SELECT id, unnest(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) FROM spans WHERE length(s) >= 3
-  UNION SELECT id, unnest(list_transform(range(1, length(s) - 2), lambda i: substring(s, i, 4))) FROM spans WHERE length(s) >= 4
-),"""
-
-
-_CORPUS = f"""WITH {_terms_sql("documents", "doc_id", "text")}
-terms AS (SELECT id, term FROM every),
-lengths AS (SELECT d.doc_id AS id, count(t.term) AS length FROM documents d LEFT JOIN terms t ON d.doc_id = t.id GROUP BY 1),
-corpus AS (SELECT count(*) AS n, avg(length) AS avgdl FROM lengths),
-stats AS (SELECT term, count(*) AS df FROM terms GROUP BY 1),
-qfolded AS (SELECT item_id AS id, replace(lower(question), 'ß', 'ss') AS t FROM eval_item),
-qpieces AS (SELECT id, unnest(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}]+')) AS p FROM qfolded),
-qspans AS (SELECT id, unnest(regexp_extract_all(t, '{_HAN}')) AS s FROM qfolded),
-asked AS (
-  SELECT id AS query_id, p AS term FROM qpieces WHERE length(p) > 1 AND NOT regexp_full_match(p, '{_HAN}')
-  UNION SELECT id, s FROM qspans WHERE length(s) <= 8
-  UNION SELECT id, unnest(list_transform(range(1, length(s)), lambda i: substring(s, i, 2))) FROM qspans WHERE length(s) >= 2
-  UNION SELECT id, unnest(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) FROM qspans WHERE length(s) >= 3
-  UNION SELECT id, unnest(list_transform(range(1, length(s) - 2), lambda i: substring(s, i, 4))) FROM qspans WHERE length(s) >= 4
-)"""
-
-
-def _bm25_sql(where: str = "") -> str:
-    return f"""{_CORPUS},
-scored AS (
-  SELECT a.query_id, t.id AS doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / avgdl) + 1e-9)) AS score
-  FROM asked a JOIN stats s USING (term) JOIN terms t USING (term) JOIN lengths l ON t.id = l.id CROSS JOIN corpus {where} GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0)
-SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
-
-
-_SOURCES = "(SELECT doc_id, any_value(paragraphs) AS paragraphs FROM source_document GROUP BY 1)"
-_TRIM = "regexp_replace({0}, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g')"
-_IS_HEADING = f"""(length(p) > 0 AND NOT contains(p, chr(10)) AND (
-  regexp_matches(p, '^#{{1,6}}\\s+.+$') OR regexp_matches(p, '^[一二三四五六七八九十百千]+、\\s*.+$')
-  OR regexp_matches(p, '^第[一二三四五六七八九十百千0-9]+[章节条款部分编]\\s*.*$') OR regexp_matches(p, '^(?:[(（]?[0-9]+[)）]|[0-9]+[.、])\\s*.+$')
-  OR (length(p) <= 30 AND NOT regexp_matches(right(p, 1), '[。；;！!？?：:，,]') AND NOT regexp_matches(p, '[。！？!?；;]') AND regexp_matches(p, '[\\p{{L}}\\p{{Nd}}\\p{{No}}]')
-      AND (regexp_matches(p, '^(?:附件|附录|说明|注：|备注：|一是|二是|三是|四是|五是|六是)') OR regexp_matches(p, '(?:{"|".join(text.TITLE_SUFFIXES)})$') OR length(p) <= 12))))"""
-_PARAGRAPHS = f"""WITH raw AS (SELECT doc_id, unnest(paragraphs) AS q, generate_subscripts(paragraphs, 1) - 1 AS para_no FROM {_SOURCES}),
-trimmed AS (SELECT doc_id, para_no, {_TRIM.format("q")} AS p FROM raw),
-marked AS (SELECT *, {_IS_HEADING} AS head FROM trimmed),
-titled AS (SELECT *, CASE WHEN regexp_matches(p, '^#{{1,6}}\\s+.+$') THEN {_TRIM.format("regexp_replace(p, '^#+', '')")} ELSE p END AS heading FROM marked)"""
-
-
-def _first_of(column: str, hints: tuple[str, ...], pattern: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({column}, '{h}{pattern}', 1), '')" for h in hints) + ")"
-
-
-_SLOTS = {
-    "purpose": "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{v}'" for p, v in session.PURPOSE) + " END",
-    "crop_or_activity": "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{v}'" for p, v in session.ACTIVITY) + " END",
-    "amount": f"nullif(regexp_replace(regexp_extract(t, '{session.AMOUNT}', 1), '\\s+', '', 'g'), '')",
-    "duration": f"nullif(regexp_replace(regexp_extract(t, '{session.DURATION}', 1), '\\s+', '', 'g'), '')",
-    **{s: f"CASE WHEN regexp_matches(t, '{no}') THEN false WHEN regexp_matches(t, '{yes}') THEN true END" for s, (no, yes) in session.FLAGS.items()},
-}
-_TURN_SLOTS = "WITH turns AS (SELECT coalesce(region, '') AS session_id, doc_id AS turn, trim(text) AS t FROM documents WHERE text IS NOT NULL), slots AS (SELECT session_id, turn, " + ", ".join(f"{e} AS {s}" for s, e in _SLOTS.items()) + " FROM turns)"
-
-_ASCENT = "[^。；;\\n]*"
-SQL: dict[str, str] = {
-    "tokenize_documents": f"WITH {_terms_sql('documents', 'doc_id', 'text')} terms AS (SELECT id, count(*) AS n, sum(length(term)) AS c FROM every GROUP BY 1) SELECT doc_id, coalesce(n, 0)::INT AS n_terms, coalesce(c, 0)::INT AS term_chars FROM documents LEFT JOIN terms ON doc_id = id WHERE text IS NOT NULL",
-    "term_stats": f"WITH {_terms_sql('documents', 'doc_id', 'text')} x AS (SELECT 1) SELECT term, count(*) AS df FROM every GROUP BY 1",
-    "corpus_stats": _CORPUS + " SELECT n AS chunk_count, round(avgdl, 4) AS average_document_length, (SELECT count(*) FROM stats) AS vocabulary_size FROM corpus",
-    "bm25_topk": _bm25_sql(),
-    "bm25_region_topk": _bm25_sql("JOIN documents d ON d.doc_id = t.id WHERE upper(d.region) = (SELECT max(upper(region)) FROM documents)"),
-    "tfidf_topk": f"""{_CORPUS},
-asked_n AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nt FROM asked),
-weights AS (SELECT query_id, term, (ln(1 + (n + 1) / (coalesce(df, 0) + 1)) + 1) AS idf, nt FROM asked_n LEFT JOIN stats USING (term) CROSS JOIN corpus),
-norms AS (SELECT query_id, sqrt(sum((idf / nt) * (idf / nt))) AS norm FROM weights GROUP BY 1),
-sums AS (SELECT w.query_id, t.id AS doc_id, sum((idf / nt) * (idf / length)) AS dot, sqrt(sum((idf / length) * (idf / length))) AS own FROM weights w JOIN terms t USING (term) JOIN lengths l ON l.id = t.id GROUP BY 1, 2),
-scored AS (SELECT query_id, doc_id, dot / (norm * own) AS score FROM sums JOIN norms USING (query_id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0)
-SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
-    "headings": _PARAGRAPHS + " SELECT doc_id, para_no::INT AS para_no, heading FROM titled WHERE head",
-    "sections": _PARAGRAPHS
-    + """, kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) - 1 AS no FROM titled WHERE p <> ''),
-numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY no) AS section_no FROM kept)
-SELECT doc_id, section_no::INT AS section_no, max(heading) FILTER (WHERE head) AS title, min(no)::INT AS start_paragraph, max(no)::INT AS end_paragraph, (max(no) FILTER (WHERE head))::INT AS heading_paragraph FROM numbered GROUP BY 1, 2""",
-    "kb_projection": "SELECT DISTINCT chunk_id, doc_id, region, chunk_index, metadata['source_path'] AS source_path, paragraph_range.start AS first_paragraph, paragraph_range.\"end\" AS last_paragraph FROM kb_chunk",
-    "document_ids": """WITH paths AS (SELECT DISTINCT source_path, regexp_replace(source_path, '^/data/raw/', '') AS relative FROM manifest_record WHERE source_path IS NOT NULL),
-parts AS (SELECT *, list_concat(string_split(relative, '/'), string_split(source_path, '/')) AS xs, regexp_replace(list_extract(string_split(source_path, '/'), -1), '(.)\\.[^.]*$', '\\1') AS stem, lower(regexp_extract(source_path, '[^/](\\.[^./]+)$', 1)) AS suffix FROM paths),
-named AS (SELECT *, coalesce(list_filter(list_transform(xs, lambda x: CASE WHEN lower(trim(x)) IN ('adbc', 'fj') THEN lower(trim(x)) WHEN lower(trim(x)) = 'fujian' THEN 'fj' WHEN lower(trim(x)) = 'beijing' THEN '北京' WHEN contains(x, '北京') THEN '北京' WHEN starts_with(trim(x), '福建') THEN 'fj' END), lambda r: r IS NOT NULL)[1], 'unknown') AS region FROM parts)
-SELECT source_path, region, CASE WHEN suffix IN ('.doc', '.docx', '.pdf', '.txt', '.html', '.md', '.xls', '.xlsx') THEN suffix[2:] WHEN suffix = '.htm' THEN 'html' WHEN suffix IN ('.png', '.jpg', '.jpeg', '.tif', '.tiff') THEN 'image' ELSE 'unknown' END AS file_type, region || ':' || replace(stem, ' ', '_') || ':' || substring(sha1(relative), 1, 10) AS doc_id FROM named""",
-    "manifest_backfill": "SELECT m.doc_id, m.file_type, m.file_size_bytes, d.parse_status, d.parse_error, d.needs_manual_review FROM (SELECT DISTINCT doc_id, file_type, file_size_bytes FROM manifest_record) m LEFT JOIN (SELECT DISTINCT doc_id, parse_status, parse_error, needs_manual_review FROM source_document) d USING (doc_id)",
-    "report_counters": """WITH d AS (SELECT doc_id, any_value(parse_status) AS s, any_value(ocr_needed) AS o, any_value(needs_manual_review) AS r FROM source_document GROUP BY 1)
-SELECT count(*) AS total_files, count(*) FILTER (WHERE s = 'success') AS parsed_successfully, count(*) FILTER (WHERE s = 'partial') AS parsed_partially, count(*) FILTER (WHERE s NOT IN ('success', 'partial')) AS parse_failed, count(*) FILTER (WHERE o) AS ocr_required, count(*) FILTER (WHERE r) AS manual_review_required, (SELECT count(DISTINCT chunk_id) FROM kb_chunk) AS chunks_created FROM d""",
-    "session_carried": _TURN_SLOTS + " SELECT session_id, turn, " + ", ".join(f"last_value({s} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS {s}" for s in _SLOTS) + " FROM slots",
-    "session_latest": _TURN_SLOTS + " SELECT session_id, max(turn) AS turn, " + ", ".join(f"arg_max({s}, turn) FILTER (WHERE {s} IS NOT NULL) AS {s}" for s in _SLOTS) + " FROM slots GROUP BY 1",
-    "citations": """WITH e AS (SELECT DISTINCT evidence_id, chunk_id, confidence, citation_text, metadata.source_title AS own_title FROM selected_evidence), c AS (SELECT DISTINCT chunk_id, source_title, section_title FROM kb_chunk)
-SELECT evidence_id, chunk_id, coalesce(nullif(source_title, ''), nullif(own_title, '')) AS title, nullif(section_title, '') AS section, coalesce(nullif(citation_text, ''), nullif(source_title, '')) AS citation, round(confidence, 4) AS confidence FROM e LEFT JOIN c USING (chunk_id)""",
-}
+
+def sql() -> dict[str, str]:
+    """The same results in SQL, by query."""
+    from millrace.oracles import SQL
+
+    return SQL

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The artifacts that are looked for, in order, and the fields folded into the metadata.
 ARTIFACTS = ("chunks/kb_chunks.jsonl", "chunks/chunks.jsonl", "kb_chunks.jsonl", "chunks.jsonl")
@@ -56,5 +57,8 @@ def kb_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:
-    """JSON lines; ``files`` asks for that many files instead of one per partition. mode append adds rows."""
+    """JSON lines; ``files`` asks for that many files instead of one per partition. mode append adds rows. A paragraph_range is written as its two numbers."""
+    if "paragraph_range" in df.columns and isinstance(df.schema["paragraph_range"].dataType, T.StructType):
+        both = F.array("paragraph_range.start", "paragraph_range.end")
+        df = df.withColumn("paragraph_range", F.when(F.col("paragraph_range").isNotNull(), both))
     (df.coalesce(files) if files else df).write.mode(mode).option("ignoreNullFields", "false").json(path)

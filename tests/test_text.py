@@ -1,12 +1,11 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.tokens import term_lists, with_terms
 
-import pyarrow as pa
-
 
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "t string").select(f(F.col("t")).alias("x")).first().x
@@ -69,3 +68,9 @@ def test_paragraphs_of_plain_and_marked_text(spark):
     assert one(spark, marked, lambda c: text.paragraphs(c, True)) == ["# 题目", "正文", "## 节", "内容"]
     assert one(spark, "# 题目\n正文", lambda c: text.title(text.paragraphs(c, True), F.lit("file"))) == "题目"
     assert one(spark, " ", lambda c: text.title(text.paragraphs(c), F.lit("file"))) == "file"
+
+
+def test_digits_at_the_ends_of_sentences_stay(spark):
+    lines = "第一句说明情况在此。\n1. 第二句的内容在此。\n2021年第三句的内容。\n甲乙丙丁戊己庚辛共有3"
+    got = spark.createDataFrame([(lines,)], "t string").select(text.sentences(F.col("t")).alias("s")).first().s
+    assert got == ["第一句说明情况在此。", "1. 第二句的内容在此。", "2021年第三句的内容。", "甲乙丙丁戊己庚辛共有3"]
