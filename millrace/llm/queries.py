@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import encodings, leaks, lookalikes, mixing, neardup, quality, sentences, splitting
+from millrace.llm.oracles import SQL  # noqa: F401 - the same in SQL, read by the entry point
 from millrace.session import table
 
+#: White space, as a pattern.
+WHITE = r"(?U)[\s\x1C-\x1F\x85]+"
 #: The dictionary of common words is held by every task.
 MOST_WORDS = 100_000
 
@@ -18,6 +21,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "kb_chunk"), "chunk_id", "chunk_text")
 
 
+def p1_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each chunk the number of its visible characters and their hash, from its sentence units put together: no unit lacks, doubles or moves any."""
+    chunks = table(spark, folder, "kb_chunk").dropDuplicates(["chunk_id"])
+    spans = sentences.with_units(chunks, "chunk_text", sentences.train(chunks, "chunk_id", "chunk_text"), ["chunk_id", "chunk_text"])
+    unit = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.substring(F.col("chunk_text"), s["starts"] + 1, s["ends"] - s["starts"]))
+    joined = spans.select("chunk_id", F.regexp_replace(F.array_join(unit, ""), WHITE, "").alias("t"))
+    return joined.select("chunk_id", F.char_length("t").alias("visible"), F.md5("t").alias("hash"))
+
+
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of each entry of ``paragraphs``."""
     docs = table(spark, folder, "source_document")
@@ -51,6 +63,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).select("field_name", "record_id", "item_no", "forced").distinct()
 
 
+def p4_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each oversized item its length and hash, from the cores of its pieces put together, and whether all pieces and overlaps keep their limits."""
+    core = F.struct("piece_no", F.expr("substring(text, core_start - start_pos + 1)").alias("core"))
+    fits = (F.char_length("text") <= splitting.LIMIT) & (F.col("core_start") - F.col("start_pos") <= splitting.OVERLAP)
+    items = p4_pieces(spark, folder).groupBy("field_name", "record_id", "item_no").agg(F.array_sort(F.collect_list(core)).alias("cores"), F.bool_and(fits).alias("fits"))  # the pieces of one item
+    joined = items.withColumn("t", F.array_join(F.transform("cores", lambda c: c["core"]), ""))
+    return joined.select("field_name", "record_id", "item_no", F.char_length("t").alias("n_chars"), F.md5("t").alias("hash"), "fits")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         neardup.near_duplicates(table(spark, folder, name), key, text).select(F.lit(text).alias("field_name"), "id_a", "id_b")
@@ -113,6 +134,11 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.statistics(table(spark, folder, "documents"), "doc_id", "text", words)
 
 
+def p9_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts that SQL can check."""
+    return p9_statistics(spark, folder).select("doc_id", "chars", "visible", "han", "lines", "repeated_lines", "grams", "repeated_grams")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_statistics(spark, folder).where("kind <> 'prose'").select("doc_id", "kind")
 
@@ -120,11 +146,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_paragraphs": p1_paragraphs,
+    "p1_round_trip": p1_round_trip,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p3_raw_text": p3_raw_text,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_round_trip": p4_round_trip,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -136,6 +164,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_bands": p8_bands,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
+    "p9_counts": p9_counts,
 }
-
-SQL: dict[str, str] = {}
