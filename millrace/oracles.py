@@ -282,6 +282,24 @@ grouped AS (SELECT *, sum((x = '')::INT) OVER (PARTITION BY doc_id ORDER BY i) A
 paragraph AS (SELECT doc_id, g, string_agg(x, chr(10) ORDER BY i) AS paragraph FROM grouped WHERE x <> '' GROUP BY 1, 2),
 segmented AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS para_no, paragraph FROM paragraph)"""
 
+PARSED = f"""WITH stored AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, {trim("unnest(ls)")} AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\v\\f\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM stored)),
+kind AS (SELECT unnest(['txt', 'md']) AS k),
+broken AS (SELECT *, k = 'md' AND regexp_matches(x, '^#{{1,6}}( |$)') AS head FROM line CROSS JOIN kind),
+stepped AS (SELECT *, (x = '' OR head OR coalesce(lag(head) OVER (PARTITION BY doc_id, k ORDER BY i), false))::INT AS step FROM broken),
+grouped AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, k ORDER BY i) AS g FROM stepped),
+paragraph AS (SELECT doc_id, k, g, string_agg(x, chr(10) ORDER BY i) AS p FROM grouped WHERE x <> '' GROUP BY 1, 2, 3),
+plain AS (SELECT doc_id, k, count(*) AS n, sum(length(p)) AS c, arg_min(p, g) AS first FROM paragraph GROUP BY 1, 2),
+piece AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\(([^()]*)\\)', 1), lambda m: {collapse("m")}), lambda m: length(m) > 1) AS ps FROM stored),
+pdf AS (SELECT doc_id, {distinct("ps")} AS ps FROM piece),
+pdf_size AS (SELECT doc_id, len(ps) AS n, coalesce(list_sum(list_transform(ps, lambda p: length(p))), 0) AS c, coalesce(list_sum(list_transform(ps, lambda p: length(p))), 0) + greatest(len(ps) - 1, 0) AS raw FROM pdf)
+SELECT k || '/' || s.doc_id AS doc_id, k AS file_type, coalesce(nullif({trim("CASE WHEN regexp_matches(first, '^#{1,6}( |$)') THEN regexp_replace(first, '^#+', '') ELSE string_split(first, chr(10))[1] END")}, ''), 'file-' || s.doc_id) AS title, coalesce(n, 0)::INT AS n_paragraphs, coalesce(c, 0)::INT AS n_chars,
+  CASE WHEN {trim("text")} <> '' THEN 'success' ELSE 'partial' END AS parse_status, CASE WHEN {trim("text")} <> '' THEN 'clean' ELSE 'empty' END AS text_quality_flag, CASE WHEN {trim("text")} = '' THEN 0.25 WHEN k = 'md' THEN 0.90 ELSE 0.92 END::DOUBLE AS source_format_confidence, {trim("text")} = '' AS needs_manual_review, false AS ocr_needed, {trim("text")} = '' AS has_error, ({trim("text")} = '')::INT AS n_warnings
+FROM stored s CROSS JOIN kind LEFT JOIN plain USING (doc_id, k)
+UNION ALL SELECT 'pdf/' || doc_id, 'pdf', 'file-' || doc_id, n::INT, c::INT, CASE WHEN raw = 0 THEN 'failed' WHEN raw < 80 OR n < 2 THEN 'partial' ELSE 'success' END, CASE WHEN raw = 0 THEN 'empty' ELSE 'low_confidence' END, CASE WHEN raw = 0 THEN 0.0 WHEN raw < 80 OR n < 2 THEN 0.35 ELSE 0.65 END::DOUBLE, raw < 80 OR n < 2, raw < 80 OR n < 2, raw < 80 OR n < 2, 1 FROM pdf_size
+UNION ALL SELECT 'image/' || doc_id, 'image', 'file-' || doc_id, 0, 0, 'skipped', 'needs_review', 0.0, true, true, true, 1 FROM stored
+UNION ALL SELECT 'xls/' || doc_id, 'xls', 'file-' || doc_id, 0, 0, 'failed', 'needs_review', 0.0, true, false, true, 1 FROM stored"""
+
 # ---- sessions ----
 
 _FLAGS = {
@@ -325,6 +343,7 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
     "chunk_documents": CHUNKED,
     "segment_texts": SEGMENTED + " SELECT * FROM segmented",
     "infer_titles": f"""{SEGMENTED} SELECT d.doc_id, coalesce(nullif({trim("CASE WHEN regexp_matches(s.paragraph, '^#{1,6}( |$)') THEN regexp_replace(s.paragraph, '^#+', '') ELSE string_split(s.paragraph, chr(10))[1] END")}, ''), 'document-' || d.doc_id) AS title FROM documents d LEFT JOIN segmented s ON s.doc_id = d.doc_id AND para_no = 0 WHERE text IS NOT NULL""",
+    "parse_files": PARSED,
     "chunk_records": """SELECT chunk_id, coalesce(nullif(doc_id, ''), chunk_id) AS doc_id, coalesce(nullif(region, ''), '') AS region, coalesce(source_title, '') AS source_title, coalesce(chunk_text, '') AS chunk_text, coalesce(chunk_index, 0) AS chunk_index, nullif(section_title, '') AS section_title, page_no, paragraph_range.start AS first_paragraph, paragraph_range."end" AS last_paragraph, metadata['source_path'] AS source_path FROM (SELECT DISTINCT ON (chunk_id) * FROM kb_chunk)""",
     "kb_projection": "SELECT DISTINCT chunk_id, doc_id, region, chunk_index, metadata['source_path'] AS source_path, paragraph_range.start AS first_paragraph, paragraph_range.\"end\" AS last_paragraph FROM kb_chunk",
     "document_ids": """WITH paths AS (SELECT DISTINCT source_path, regexp_replace(source_path, '^/data/raw/', '') AS relative FROM manifest_record WHERE source_path IS NOT NULL),
@@ -337,6 +356,7 @@ SELECT source_path, file_name, region, file_type, region || ':' || replace(stem,
     "extract_parameters": f"""WITH t AS (SELECT evidence_id, {texts("[evidence_text]")} AS ts FROM (SELECT DISTINCT evidence_id, evidence_text FROM selected_evidence)), x AS (SELECT evidence_id, {parameters("ts")} FROM t) SELECT *, round(interest_rate - subsidy_rate, 6) AS effective_rate FROM x""",
     "session_carried": _TURN_SLOTS + " SELECT session_id, turn, " + ", ".join(f"last_value({s} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS {s}" for s in _SLOTS) + " FROM slots",
     "session_latest": _TURN_SLOTS + " SELECT session_id, max(turn) AS turn, " + ", ".join(f"arg_max({s}, turn) FILTER (WHERE {s} IS NOT NULL) AS {s}" for s in _SLOTS) + " FROM slots GROUP BY 1",
+    "session_evidence": "WITH turns AS (SELECT doc_id, array_to_string(list_filter([trim(coalesce(text, '')), trim(coalesce(title, ''))], lambda x: x <> ''), chr(10)) AS t FROM documents) SELECT doc_id, " + ", ".join(f"{e} AS {s}" for s, e in _SLOTS.items()) + " FROM turns",
     "citations": f"""SELECT e.evidence_id, e.chunk_id, e.doc_id, {_CITED.format(m="e.metadata.", c="e.citation_text", d="e.doc_id")}, e.evidence_text AS quote, round(e.confidence, 4) AS confidence FROM (SELECT DISTINCT * FROM selected_evidence) e LEFT JOIN {CHUNKS} k USING (chunk_id)""",
     "normalize_questions": f"WITH {normalized(_SPOKEN)} SELECT query_id, normalized_query, detected_terms, search_text, hits FROM normal",
     "ask": f"""WITH {normalized(QUESTIONS)}, search AS (SELECT query_id, search_text AS query FROM normal),{evidence("search")},

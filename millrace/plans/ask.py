@@ -27,7 +27,7 @@ class Engine:
         chosen = evidence.select(evidence.rank_sentences(search, hits, self.chunks, top_chunks), most)
         sure = evidence.confidence(search, chosen)
         first = extraction.extract(*self._best(chosen))
-        parameters = first.select("query_id", F.struct("interest_rate", "subsidy_rate", "effective_rate", "loan_term_months", "loan_amount_upper_limit", "collateral_required", "guarantee_required", "target_entities", "usage_restrictions", "repayment_constraints").alias("parameters"))
+        parameters = first.select("query_id", F.struct("interest_rate", "subsidy_rate", "effective_rate", "loan_term_months", "loan_amount_upper_limit", "collateral_required", "guarantee_required", "target_entities", "usage_restrictions", "repayment_constraints").alias("parameters"), F.struct("evidence_text", "chunk_id", "collateral_requirement_text", "guarantee_requirement_text", "matched_percentages").alias("raw_slots"))
         cited = response.citations(chosen, self.chunks)
         found = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("evidence_rank", "evidence_id", "chunk_id", "doc_id", "source", "section", "citation_text", "quote", "confidence", "rationale"))).alias("citations"))  # at most ``most`` a query
         out = asked.drop("hits", "trace").join(found, "query_id", "left").join(sure.select("query_id", F.struct("confidence", "label", "warning", "reasons").alias("confidence")), "query_id", "left").join(parameters, "query_id", "left")

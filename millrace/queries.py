@@ -119,6 +119,16 @@ def infer_titles(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).where("text is not null").select("doc_id", text.title(text.paragraphs(F.col("text")), stem).alias("title"))
 
 
+def parse_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a file of several types, parsed."""
+    kinds = F.explode(F.array(*(F.lit(k) for k in ("txt", "md", "pdf", "image", "xls")))).alias("file_type")
+    rows = documents(spark, folder).where("text is not null").select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("content"), kinds)
+    name = F.concat(F.lit("file-"), F.col("key"))
+    listed = rows.select(F.concat_ws("/", "file_type", "key").alias("doc_id"), F.lit("fj").alias("region"), name.alias("source_path"), name.alias("file_name"), "file_type", name.alias("stem"), "content")
+    docs = files.parse(listed)
+    return docs.select("doc_id", "file_type", "title", F.size("paragraphs").alias("n_paragraphs"), F.char_length(F.array_join("paragraphs", "")).alias("n_chars"), "parse_status", "text_quality_flag", "source_format_confidence", "needs_manual_review", "ocr_needed", F.col("parse_error").isNotNull().alias("has_error"), F.size("warnings").alias("n_warnings"))
+
+
 def chunk_records(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks written as JSON lines and read again."""
     path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}.jsonl"
@@ -167,6 +177,12 @@ def session_latest(spark: SparkSession, folder: str) -> DataFrame:
     return session.latest(session.turn_slots(_turns(spark, folder), evidence=None)).drop("normalized_query")
 
 
+def session_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The slots of each document with its title as its evidence."""
+    turns = documents(spark, folder).select(F.col("doc_id").alias("session_id"), F.lit(1).alias("turn"), F.col("text").alias("query"), F.array(F.coalesce("title", F.lit(" ")), F.lit(" ")).alias("evidence"))
+    return session.turn_slots(turns).drop("query", "evidence", "normalized_query", "turn").withColumnRenamed("session_id", "doc_id")
+
+
 def citations(spark: SparkSession, folder: str) -> DataFrame:
     chosen = table(spark, folder, "selected_evidence").distinct()
     return response.citations(chosen, chunks(spark, folder)).select("evidence_id", "chunk_id", "doc_id", "source", "section", "citation_text", "quote", "confidence")
@@ -212,7 +228,7 @@ def p2_converted(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_documents, term_stats, corpus_stats, bm25_topk, bm25_region_topk, tfidf_topk, sentence_split, evidence_select, evidence_confidence, headings, sections, chunk_documents, segment_texts, infer_titles, chunk_records, kb_projection, document_ids, manifest_backfill, report_counters, extract_parameters, session_carried, session_latest, citations, normalize_questions, ask,
+        tokenize_documents, term_stats, corpus_stats, bm25_topk, bm25_region_topk, tfidf_topk, sentence_split, evidence_select, evidence_confidence, headings, sections, chunk_documents, segment_texts, infer_titles, parse_files, chunk_records, kb_projection, document_ids, manifest_backfill, report_counters, extract_parameters, session_carried, session_latest, session_evidence, citations, normalize_questions, ask,
         p2_found, p2_converted,
     )
 }
