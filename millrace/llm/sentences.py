@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from millrace.functions.codepoints import Hashes, decode, mix, row_of, scripts, sliced, spaces, table
 from millrace.llm.maxent import MaxEnt, hashed
 
-#: Rows that the model is fitted on.
-SAMPLE = 8000
+#: Rows, and characters, that the model is fitted on at most.
+SAMPLE, SAMPLE_CHARS = 8000, 3_000_000
 #: Kinds of candidates: a dot; a mark with closers behind it; a space in Thai; another mark; a semicolon before an item; a colon before the first item.
 DOT, CLOSED, THAI, HARD, ITEM, LEAD = range(6)
 #: The chance that is enough for each kind where too few reliable boundaries of it are known to fit one.
@@ -254,9 +254,9 @@ def units(points: np.ndarray, offsets: np.ndarray, model: MaxEnt) -> tuple[np.nd
 
 
 def sample_texts(df: DataFrame, key: Column | str, text: str, rows: int = SAMPLE) -> pa.Array:
-    """About ``rows`` texts, chosen by the hash of their key."""
-    total = df.count()
-    share = min(1.0, rows / max(total, 1))
+    """About ``rows`` texts, but not above about SAMPLE_CHARS characters, chosen by the hash of their key."""
+    total, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()
+    share = min(1.0, rows / max(total, 1), SAMPLE_CHARS / max(chars, 1))
     picked = df.where((F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & F.col(text).isNotNull())
     return picked.select(F.col(text).cast("string").alias("t")).toArrow().column("t").combine_chunks()
 
