@@ -279,7 +279,7 @@ def indexes(items: DataFrame, run: int = RUN, most: int = INDEX_CHARS) -> Iterat
 
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, most: int = INDEX_CHARS) -> DataFrame:
-    """One row per document and item that share at least ``run`` characters in a row: key, item_id, the longest shared stretch and whether any touches the item's question and its answer. Null texts leak nothing; repeated rows count once."""
+    """One row per document and item that share at least ``run`` characters in a row: key, item_id, the longest shared stretch and whether any touches the item's question and its answer. Null and short texts and passages leak nothing, a null key or item_id is a key like others; repeated rows count once; other columns are not looked at."""
     wanted = docs.select(key, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("item_id bigint, shared int, in_question boolean, in_answer boolean").fields])
 

@@ -115,7 +115,7 @@ def normalise(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return points, offsets, np.zeros(rows, bool)
     to = t["one"][points]
     many = t["many"][points]
-    special = np.flatnonzero((to != points) | (many >= 0) | t["foreign"][points] | t["mark"][points])
+    special = np.flatnonzero((to != points) | (points == 0) | (many >= 0) | t["foreign"][points] | t["mark"][points])
     if not len(special):
         return points, offsets, np.zeros(rows, bool)
     # joiners that a script needs: between letters of it
@@ -237,7 +237,7 @@ def composed(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def one_form(df: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """``key``, the text in its one form (``text``) and whether it was stored otherwise (``changed``). Null stays null and unchanged."""
+    """``key``, the text in its one form (``text``) and whether it was stored otherwise (``changed``), a row for each row. Null stays null and unchanged; other columns are not looked at."""
     wanted = df.select(*key, F.col(text).cast("string").alias("text"))
     schema = T.StructType([*wanted.schema.fields, T.StructField("changed", T.BooleanType())])
 

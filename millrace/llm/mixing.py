@@ -83,7 +83,7 @@ def plan(available: dict[str, int], corpus: int, targets: pd.DataFrame) -> pd.Da
         share = rows.target_share.fillna(0).clip(lower=0).to_numpy(float)
         share = share / share.sum() if share.sum() > 0 else share
         have = np.array([available.get(s, 0) for s in rows.source], float)
-        cap = np.where(have > 0, have * rows.max_repeats.fillna(np.inf).to_numpy(float), 0)
+        cap = np.multiply(have, rows.max_repeats.fillna(np.inf).to_numpy(float), out=np.zeros(len(rows)), where=have > 0)
         budget = float(rows.budget_share.iloc[0]) * corpus if pd.notna(rows.budget_share.iloc[0]) else float(corpus)
         give = np.zeros(len(rows))
         free = (share > 0) & (cap > 0)
@@ -140,6 +140,8 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
 
     A document is in a mix once per epoch of its source, and in the last, partial epoch if the
     middle of its tokens lies within the demand. Sources that are absent from the corpus reach 0.
+    Documents without a source or without tokens, and targets without a source, are in no mix;
+    repeated rows are documents of their own. At most MOST_TARGETS targets are planned.
     schedules: by mix, or what makes one from the planned rows of a mix; none for flat ones.
     """
     spark = docs.sparkSession

@@ -286,7 +286,7 @@ def with_units(df: DataFrame, text: str, model: MaxEnt, keep: list[str]) -> Data
 
 
 def sentence_units(df: DataFrame, key: str, text: str, model: MaxEnt | None = None) -> DataFrame:
-    """One row per unit: key, start_pos, end_pos. Repeated rows count once."""
+    """One row per unit: key, start_pos, end_pos. Repeated rows count once; null and blank texts have no row, null keys keep theirs; other columns are not looked at."""
     model = model or train(df, key, text)
     spans = with_units(df, text, model, [key]).distinct()
     return spans.select(key, F.inline(F.arrays_zip("starts", "ends"))).select(key, F.col("starts").alias("start_pos"), F.col("ends").alias("end_pos"))
