@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import evidence, extraction, index, normalize, retrieval, session
 from millrace.plans import response
-from millrace.session import checkpointed
+from millrace.session import Stored, checkpointed
 
 
 class Engine:
@@ -24,7 +24,7 @@ class Engine:
         asked = normalize.normalize_queries(queries, self.normalizer)
         search = asked.select("query_id", F.col("search_text").alias("query"), *(["region"] if "region" in queries.columns else []))
         hits = retrieval.bm25(self.index, search, k, self.chunks.select(F.col("chunk_id").alias("id"), "region") if "region" in queries.columns else None)
-        chosen = evidence.select(evidence.rank_sentences(search, hits, self.chunks, top_chunks), most)
+        chosen = Stored(evidence.select(evidence.rank_sentences(search, hits, self.chunks, top_chunks), most)).rows  # a few rows a query, which all that follows reads
         sure = evidence.confidence(search, chosen)
         first = extraction.extract(*self._best(chosen))
         parameters = first.select("query_id", F.struct("interest_rate", "subsidy_rate", "effective_rate", "loan_term_months", "loan_amount_upper_limit", "collateral_required", "guarantee_required", "target_entities", "usage_restrictions", "repayment_constraints").alias("parameters"), F.struct("evidence_text", "chunk_id", "collateral_requirement_text", "guarantee_requirement_text", "matched_percentages").alias("raw_slots"))

@@ -12,12 +12,12 @@ from millrace.functions import text, tokens
 from millrace.operators import chunking, evidence, extraction, index, normalize, retrieval, session, units
 from millrace.plans import response
 from millrace.plans.ask import Engine
-from millrace.session import shared_folder, table
+from millrace.session import shared_folder, spread, table
 from millrace.sources import files, records
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,3 +57,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan over all cores where a small file would keep them on fewer; larger inputs have partitions enough and stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
