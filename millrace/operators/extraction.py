@@ -80,8 +80,9 @@ def requirement(texts: Column, hints: tuple[str, ...]) -> Column:
     """struct(required, sentence): the first sentence with a hint; a word of waiver in it means it is not required. Null if there is no hint."""
 
     def of(t: Column) -> Column:
-        found = F.coalesce(*(F.nullif(F.regexp_extract(t, f"([^。；;\n]*{h}[^。；;\n]*)", 1), F.lit("")) for h in hints))
-        return text.trimmed(found)
+        parts = F.filter(F.split(t, "[。；;\n]"), lambda s: s.rlike("|".join(hints)))  # a pattern for the whole sentence would look back from every place
+        with_hint = lambda h: F.get(F.filter(parts, lambda s: s.contains(h)), 0)
+        return text.trimmed(F.coalesce(*map(with_hint, hints)))
 
     sentence = _first(F.transform(texts, of))
     return F.struct(F.when(sentence.isNotNull(), ~sentence.rlike(NEGATIVE)).alias("required"), sentence.alias("sentence"))
