@@ -62,7 +62,7 @@ class MaxEnt:
 
 
 def _parting(unlabelled: np.ndarray, positive: np.ndarray) -> float:
-    """The chance that parts the true and the false unlabelled examples with the fewest mistakes, but no more than that of all but a hundredth of the positive ones.
+    """The chance that parts the true and the false unlabelled examples with the fewest mistakes, but no more than that of all but a hundredth of the positive ones, and less where those are few, as their tail is then not seen.
 
     If hardly any is less likely than nearly all positive ones, there are no false ones, and half
     of the least positive chance is enough. Else the unlabelled are a mixture of ones like the
@@ -78,7 +78,7 @@ def _parting(unlabelled: np.ndarray, positive: np.ndarray) -> float:
     taken = 1 - np.searchsorted(np.sort(unlabelled), places) / len(unlabelled)
     mistakes = 2 * part * lost + taken
     best = np.flatnonzero(mistakes <= mistakes.min() + 1e-9)
-    return float(min(places[best[len(best) // 2]], np.quantile(positive, 0.01)))
+    return float(min(places[best[len(best) // 2]], np.quantile(positive, 0.01) * len(positive) / (len(positive) + 50)))
 
 
 def _weights(features: np.ndarray, labelled: np.ndarray, rounds: int = 150, decay: float = 1.0, least: int = 8) -> np.ndarray:
