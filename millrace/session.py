@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for all executors; one of our own only where it names none, as in tests."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix=f"millrace-{os.getpid()}-")
     if spark.sparkContext.getCheckpointDir() is None:
