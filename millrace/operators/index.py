@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -25,6 +26,14 @@ class LexicalIndex:
     corpus: DataFrame
     #: Whether the tables lie in files, so that statistics are read and not made.
     stored: bool = False
+    #: Makes the same index of some terms only, where its texts are not kept.
+    of_terms: Callable[[list[str]], LexicalIndex] | None = None
+
+    def narrowed(self, terms: DataFrame) -> LexicalIndex:
+        """For the search of these terms: lengths and statistics are those of the whole texts, but only these terms are in the tables."""
+        if self.of_terms is None:
+            return self
+        return self.of_terms([r[0] for r in terms.select("term").distinct().collect()])
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """term, df of these distinct terms. Where nothing is stored only their own postings are counted, not those of the whole vocabulary."""
@@ -48,10 +57,22 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("texts", "postings", "term_stats", "corpus")), stored=True)
 
 
-def build(texts: DataFrame, key: str, column: str | Column) -> LexicalIndex:
-    """texts: one row per key. Null texts have no terms. The tokenised texts are kept, in memory or on disk, as every table of the index is made from them; lost parts are made again."""
+def build(texts: DataFrame, key: str, column: str | Column, keep: bool = True) -> LexicalIndex:
+    """texts: one row per key. Null texts have no terms. The tokenised texts are kept, in memory or on disk, as every table of the index is made from them; lost parts are made again.
+
+    Without ``keep`` the terms of all texts, which are many times the texts, are never held: a
+    search tokenises the texts once and keeps the terms that it asks for.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    sized = tokens.with_terms(texts, key, column).persist(StorageLevel.MEMORY_AND_DISK)
+    sized = tokens.with_terms(texts, key, column)
+    if keep:
+        return _of(sized.persist(StorageLevel.MEMORY_AND_DISK))
+    out = _of(sized)
+    out.of_terms = lambda only: _of(tokens.with_terms(texts, key, column, only).persist(StorageLevel.MEMORY_AND_DISK))
+    return out
+
+
+def _of(sized: DataFrame) -> LexicalIndex:
     postings = sized.select(F.explode("terms").alias("term"), "id", "length")
     return LexicalIndex(
         sized,

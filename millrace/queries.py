@@ -41,8 +41,8 @@ def tokenize_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("length").alias("n_terms"), F.char_length(F.array_join("terms", "")).alias("term_chars"))
 
 
-def _index(spark: SparkSession, folder: str) -> index.LexicalIndex:
-    return index.build(documents(spark, folder), "doc_id", "text")
+def _index(spark: SparkSession, folder: str, keep: bool = True) -> index.LexicalIndex:
+    return index.build(documents(spark, folder), "doc_id", "text", keep)
 
 
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,17 +62,17 @@ def _scored(hits: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(retrieval.bm25(_index(spark, folder), questions(spark, folder), 5))
+    return _scored(retrieval.bm25(_index(spark, folder, keep=False), questions(spark, folder), 5))
 
 
 def bm25_region_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     asked = questions(spark, folder).withColumn("region", F.lit(docs.agg(F.max(F.upper("region"))).first()[0]))
-    return _scored(retrieval.bm25(_index(spark, folder), asked, 5, docs.select(F.col("doc_id").alias("id"), "region")))
+    return _scored(retrieval.bm25(_index(spark, folder, keep=False), asked, 5, docs.select(F.col("doc_id").alias("id"), "region")))
 
 
 def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(retrieval.tfidf(_index(spark, folder), questions(spark, folder), 5))
+    return _scored(retrieval.tfidf(_index(spark, folder, keep=False), questions(spark, folder), 5))
 
 
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,6 +65,30 @@ def test_ties_keep_the_order_of_ids(spark):
     assert [r.id for r in rows] == [1, 2]
 
 
+def test_a_search_keeps_the_terms_that_it_asks_for(spark, built, chunks):
+    q = asked(spark, (1, "补贴 合作社", "ANHUI"), (2, "生猪 zzz", None), (3, None, None))
+    regions = chunks.selectExpr("chunk_id as id", "region")
+    once = index.build(chunks, "chunk_id", "chunk_text", keep=False)
+    for search in (retrieval.tfidf, retrieval.bm25):
+        assert sorted(search(once, q, 5, regions).collect()) == sorted(search(built, q, 5, regions).collect()) != []
+    narrow = once.narrowed(retrieval.query_terms(q))
+    kept, every = ({r.id: r for r in i.texts.collect()} for i in (narrow, built))
+    assert {k: r.length for k, r in kept.items()} == {k: r.length for k, r in every.items()}
+    assert kept["doc-1:0"].terms == ["生猪"] and len(every["doc-1:0"].terms) > 20 and not once.texts.is_cached
+
+
+def test_tfidf_scored_text_by_text_is_that_of_shuffled_sums(spark, monkeypatch):
+    texts = [(k, ["贷款贴息", "生猪贷款", "贷款 期限 ab", "粮食合作社 贷款贴息", None, ""][k * 7 % 6]) for k in range(60)]
+    built = index.build(spark.createDataFrame(texts, "id int, t string").repartition(3), "id", "t", keep=False)
+    q = asked(spark, (1, "贷款", None), (2, "贷款贴息 生猪", None), (3, "ab zzz", None), (4, None, None), (5, "粮食", None))
+    monkeypatch.setattr(retrieval, "MOST_LOCAL", 0)
+    want = sorted(retrieval.tfidf(built, q, 4).collect())
+    monkeypatch.setattr(retrieval, "MOST_LOCAL", 5_000)
+    got = sorted(retrieval.tfidf(built, q, 4).collect())
+    assert len(got) == 16
+    assert [(*r[:2], round(r.score, 9), *r[3:]) for r in got] == [(*r[:2], round(r.score, 9), *r[3:]) for r in want]
+
+
 def test_index_is_saved_and_loaded(spark, built, tmp_path):
     built.save(str(tmp_path / "index"), 2)
     again = index.LexicalIndex.load(spark, str(tmp_path / "index"))
