@@ -2,10 +2,10 @@
 
 A hidden Markov model has one clean state and one state per pair of the encoding a text was
 written in and the one it was read with. Each state emits characters given the kind of the
-character before. The emissions are fitted by garbling a bounded sample of the corpus itself in
-every way; the clean state also expects, at a low rate, unusual but rightly decoded characters
-(other widths, look-alike letters, invisible signs). Viterbi's algorithm labels the characters,
-and each labelled span gets its state's inverse transform.
+character before. The emissions are fitted by garbling the whole corpus itself in every way and
+adding up the counts of all tasks; the clean state also expects, at a low rate, unusual but
+rightly decoded characters (other widths, look-alike letters, invisible signs). Viterbi's
+algorithm labels the characters, and each labelled span gets its state's inverse transform.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.codepoints import TOP, decode, sliced
-from millrace.session import Stored
+from millrace.session import Stored, spread
 
-#: Records (rows of text lists) that the emissions are fitted on.
-SAMPLE = 400
 ENTER, START, LEAVE = -9.0, -5.0, -3.0
 #: A span with fewer characters outside ASCII is short. A short span that no inverse turns into characters of the corpus is one all the same if its gain pays for entering it twice.
 SHORT, CERTAIN = 12, 18.0
@@ -42,6 +40,8 @@ PAIRS = (
     *(("shift_jis", x, 1) for x in ("gb18030", "latin-1", "utf-8")),
     ("utf-8", "lost", 1),  # replacement characters written out and read again with gb18030
 )
+#: The encodings that the texts were written in.
+WRITTEN = tuple(dict.fromkeys(pair[0] for pair in PAIRS))
 
 
 @lru_cache(None)
@@ -152,9 +152,9 @@ class Model:
 
     @lru_cache(1)  # noqa: B019 - one model lives in a worker
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        symbol = symbols(self.points)
-        gain = self.gain.astype(np.float32)
-        return symbol, gain, np.maximum(gain.max(0), 0).ravel()
+        """The symbol of each character; the gains of all states by kind before and symbol; the most of each."""
+        steps = np.ascontiguousarray(self.gain.reshape(len(self.gain), -1).T).astype(np.float32)
+        return symbols(self.points), steps, steps.max(1)
 
 
 def symbols(points: np.ndarray) -> np.ndarray:
@@ -171,20 +171,186 @@ def _chances(counts: np.ndarray) -> np.ndarray:
     return np.maximum(counts / (total + types + 1), np.maximum(spread, 1e-8))
 
 
+#: Characters, or bytes, that are counted at a time.
+PIECE = 1 << 15
+#: Put behind the last text, as readers look some bytes ahead: so a text counts the same wherever it stands.
+AHEAD = "\n\n\n"
+
+
+class Tally:
+    """Counts over texts. Slot 0: how often each character follows each kind (kind << 16 | character; above U+FFFF the kind's unseen one). Slot 1 + k: the same of the texts garbled by ``PAIRS[k]``, each text with a line end behind it. What a single-byte encoding reads follows from how often each byte follows each byte (before << 8 | byte), so only that is counted, in slot -1 - t for ``WRITTEN[t]``."""
+
+    SCHEMA = "slot int, part int, keys array<int>, counts array<bigint>"
+    #: Keys of a row that is sent.
+    WIDTH = 2048
+
+    def __init__(self) -> None:
+        self.slots: dict[int, np.ndarray] = {}
+
+    def slot(self, number: int) -> np.ndarray:
+        if number not in self.slots:
+            self.slots[number] = np.zeros(KINDS << 16 if number >= 0 else 1 << 16, np.int64)
+        return self.slots[number]
+
+    def clean(self, points: np.ndarray, offsets: np.ndarray) -> None:
+        self.slot(0)[:] += np.bincount(_pair_keys(points, offsets), minlength=KINDS << 16)
+
+    def found(self, points: np.ndarray, offsets: np.ndarray, model: Model) -> list[int]:
+        """Counts the spans that a model leaves no doubt about; the rows of all its spans."""
+        spans = label(points, offsets, model, suspects(points, offsets, model))
+        keys = _pair_keys(points, offsets) if spans else []
+        for (row, start, end, _), gain in zip(spans, gain_of(points, offsets, model, spans)):
+            at = slice(offsets[row] + start, offsets[row] + end)
+            if gain >= CERTAIN and (points[at] >= 0x80).sum() >= SHORT:
+                np.add.at(self.slot(0), keys[at], 1)
+        return sorted({row for row, *_ in spans})
+
+    def garbled(self, texts: list[str]) -> None:
+        """All ways of garbling, over some texts at a time, so that what they become stays in the processor's cache."""
+        group = np.cumsum([len(t) for t in texts]) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for start, end in zip(cuts, cuts[1:]):
+            self._garbled(texts[start:end])
+
+    def _garbled(self, texts: list[str]) -> None:
+        for t, true in enumerate(WRITTEN):
+            fitting = texts if true in ("utf-8", "gb18030") else [x for x in texts if _writable(x, true)]
+            if not fitting:
+                continue
+            text = "".join([*(x + "\n" for x in fitting), AHEAD])
+            data = write(text, true)
+            _count_bytes(data[: -len(AHEAD)], self.slot(-1 - t))
+            for k, pair in enumerate(PAIRS):
+                if pair[0] == true and pair[1] not in SINGLE:
+                    out = garble(text, pair) if pair[1] == "lost" or pair[2] > 1 else read(data, pair[1])
+                    _count(out[: -len(AHEAD)], self.slot(1 + k))
+
+    def rows(self) -> pa.RecordBatch:
+        """What is not zero, in rows of some neighbouring keys."""
+        slots, parts, ends, keys, counts = [], [], [0], [], []
+        for number, dense in self.slots.items():
+            own = np.flatnonzero(dense)
+            part, size = np.unique(own // self.WIDTH, return_counts=True)
+            slots.append(np.full(len(part), number, np.int32))
+            parts.append(part.astype(np.int32))
+            ends += (ends[-1] + np.cumsum(size)).tolist()
+            keys.append(own.astype(np.int32))
+            counts.append(dense[own])
+        joined = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((slots, np.int32), (parts, np.int32), (keys, np.int32), (counts, np.int64))]
+        at = pa.array(ends, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(joined[0]), pa.array(joined[1]), pa.ListArray.from_arrays(at, pa.array(joined[2])), pa.ListArray.from_arrays(at, pa.array(joined[3]))], names=["slot", "part", "keys", "counts"])
+
+    def gather(self, batch: pa.RecordBatch) -> None:
+        """Adds rows that another tally gave."""
+        keys, counts = (batch.column(k).flatten().to_numpy() for k in (2, 3))
+        ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
+        for number, start, end in zip(batch.column(0).to_pylist(), [0, *ends], ends):
+            self.slot(number)[keys[start:end]] += counts[start:end]  # the keys of a row are distinct
+
+    def less(self, other: Tally) -> Tally:
+        out = Tally()
+        out.slots = {k: x - other.slots[k] if k in other.slots else x for k, x in self.slots.items()}
+        return out
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the texts (0) or of those garbled by ``PAIRS[k - 1]``."""
+        dense = self.slots.get(k)
+        if k and PAIRS[k - 1][1] in SINGLE and (follow := self.slots.get(-1 - WRITTEN.index(PAIRS[k - 1][0]))) is not None:
+            dense = _read_singly(follow, PAIRS[k - 1])
+        keys = np.zeros(0, np.int64) if dense is None else np.flatnonzero(dense)
+        return keys, np.zeros(0, np.int64) if dense is None else dense[keys]
+
+
+def _count(text: str, into: np.ndarray) -> None:
+    """How often each character follows each kind, with a line end before the first."""
+    shifted, last = _shifted_kinds(), 0
+    for i in range(0, len(text), PIECE):
+        part = text[i : i + PIECE]
+        points = np.frombuffer(part.encode("utf-16-le", "surrogatepass"), np.uint16)
+        if len(points) > len(part):
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = shifted[points]
+        keys = np.empty(len(points), np.int64)
+        keys[0], keys[1:], last = last, kind[:-1], kind[-1]
+        keys += np.minimum(points, 0xFFFF)
+        np.add.at(into, keys, 1)
+
+
+def _count_bytes(data: bytes, into: np.ndarray) -> None:
+    """How often each byte follows each byte, with a line end before the first."""
+    every = np.frombuffer(b"\n" + data, np.uint8)
+    for i in range(0, len(data), PIECE):
+        part = every[i : i + PIECE + 1].astype(np.int64)
+        np.add.at(into, part[:-1] << 8 | part[1:], 1)
+
+
+def _read_singly(follow: np.ndarray, pair: tuple[str, str, int]) -> np.ndarray:
+    """How often each character follows each kind, if each byte is read as a character; for more than one time, if each of these is garbled again."""
+    true, wrong, times = pair
+    spelt = [read(bytes([b]), wrong) for b in range(256)]
+    for _ in range(times - 1):
+        spelt = [read(write(x, true), wrong) for x in spelt]
+    points = [np.array([ord(c) for c in x]) for x in spelt]
+    kind, follow = kinds().astype(np.int64), follow.reshape(256, 256)
+    out = np.zeros(KINDS << 16, np.int64)
+    first, last = np.array([x[0] for x in points]), np.array([x[-1] for x in points])
+    np.add.at(out, (kind[last][:, None] << 16) + first, follow)
+    for x, n in zip(points, follow.sum(0)):
+        np.add.at(out, (kind[x[:-1]] << 16) + x[1:], n)
+    return out
+
+
+@lru_cache(1)
+def _shifted_kinds() -> np.ndarray:
+    return kinds().astype(np.int64) << 16
+
+
 def fit(texts: list[str]) -> Model:
-    """Fitted on texts that may themselves be garbled here and there. Texts found garbled by a first fit are left out of those that are garbled for the second, as garbling can undo itself; the clean state keeps all."""
+    """Fitted on texts that may themselves be garbled here and there. Texts found garbled by a first fit are left out of those that are garbled for the second, as garbling can undo itself; the clean state keeps all but the long and certain spans, else it would learn the garbled characters of a large corpus."""
     texts = [t for t in texts if t]
-    clean = _flat(texts)
-    first = _fit(clean, texts)
-    bad = {row for row, *_ in label(*clean, first, suspects(*clean, first))}
-    return _fit(clean, [t for i, t in enumerate(texts) if i not in bad])
+    flat, every, bad = _flat(texts), Tally(), Tally()
+    every.clean(*flat)
+    every.garbled(texts)
+    bad.garbled([texts[row] for row in bad.found(*flat, _fit(every))])
+    return _fit(every.less(bad))
+
+
+def train(df: DataFrame, key: str, paragraphs: str) -> Model:
+    """``fit`` on the entries of all records, whatever their ``key``: each task counts its own, and the counts are added up; no text goes to the driver."""
+    lists = spread(df.select(paragraphs))
+    every = _tallied(lists)
+    return _fit(every.less(_tallied(lists, _fit(every))))
 
 
-def _fit(clean: tuple[np.ndarray, np.ndarray], sound: list[str]) -> Model:
-    counted = [_pairs_of(*clean)]  # one way of garbling at a time, so that the driver holds one copy of the sample
-    for pair in PAIRS:
-        fitting = sound if pair[0] in ("utf-8", "gb18030") else [t for t in sound if _writable(t, pair[0])]
-        counted.append(_pairs_of(*_flat([garble("\n".join(fitting), pair)])))
+def _tallied(lists: DataFrame, first: Model | None = None) -> Tally:
+    """The counts of all entries; with a model, of the spans it is certain about and the garbled forms of the entries that it finds garbled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in sliced(batches, lambda b: b.nbytes):
+            values = batch.column(0).flatten().cast(pa.string())
+            flat = decode(values)
+            if first is None:
+                tally.clean(*flat)
+            else:
+                values = values.take(pa.array(tally.found(*flat, first), pa.int64()))
+            tally.garbled([t for t in values.to_pylist() if t])
+        yield tally.rows()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            tally.gather(batch)
+        yield tally.rows()
+
+    out = Tally()
+    for batch in lists.mapInArrow(count, Tally.SCHEMA).repartition("slot", "part").mapInArrow(add, Tally.SCHEMA).toArrow().to_batches():  # a number for each key at most, however large the corpus
+        out.gather(batch)
+    return out
+
+
+def _fit(tally: Tally) -> Model:
+    counted = [tally.of(k) for k in range(len(PAIRS) + 1)]
     seen = np.unique(np.concatenate([*(np.unique(k & 0xFFFF) for k, _ in counted), *(np.array(list(r)) for _, r in UNUSUAL)])).astype(np.uint32)
     seen = seen[seen >= 0x80]
     symbol, n = symbols(seen), len(seen) + KINDS
@@ -201,20 +367,18 @@ def _fit(clean: tuple[np.ndarray, np.ndarray], sound: list[str]) -> Model:
 
 def gain_of(points: np.ndarray, offsets: np.ndarray, model: Model, spans: list[tuple[int, int, int, int]]) -> list[float]:
     """What each span's state explains better than the clean one."""
-    symbol, gain, _ = model.tables()
-    keys, flat = _keys(points, offsets, symbol, gain.shape[2]), gain.reshape(len(gain), -1)
-    return [float(flat[pair, keys[offsets[row] + start : offsets[row] + end]].sum()) for row, start, end, pair in spans]
+    symbol, steps, _ = model.tables()
+    keys = _keys(points, offsets, symbol, len(steps) // KINDS)
+    return [float(steps[keys[offsets[row] + start : offsets[row] + end], pair].sum()) for row, start, end, pair in spans]
 
 
-def _pairs_of(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each character follows each kind: keys (kind << 16 | character; above U+FFFF the kind's unseen one) and counts."""
+def _pair_keys(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The kind before each character and the character: kind << 16 | character; above U+FFFF the kind's unseen one."""
     kind = kinds()[points].astype(np.int32)
     before = np.zeros(len(points), np.int32)
     before[1:] = kind[:-1]
     before[offsets[:-1][offsets[:-1] < len(points)]] = 0
-    counts = np.bincount(before << 16 | np.where(points < 0x10000, points, 0xFFFF).astype(np.int32), minlength=KINDS << 16)
-    keys = np.flatnonzero(counts)
-    return keys, counts[keys]
+    return before << 16 | np.where(points < 0x10000, points, 0xFFFF).astype(np.int32)
 
 
 def _table(keys: np.ndarray, counts: np.ndarray, symbol: np.ndarray, n: int) -> np.ndarray:
@@ -256,21 +420,31 @@ def _keys(points: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, n: int) -
 
 
 def suspects(points: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
-    """Rows whose best path can leave the clean state: all their gains together pay for entering. All others are clean for certain."""
-    symbol, gain, best = model.tables()
+    """Rows whose best path can leave the clean state: some stretch, each character with the most that any state gains there, pays for entering. All others are clean for certain."""
+    symbol, steps, best = model.tables()
     if not len(points):
         return np.zeros(0, np.int64)
-    total = np.zeros(len(points) + 1)
-    np.cumsum(best[_keys(points, offsets, symbol, gain.shape[2])], out=total[1:])
-    return np.flatnonzero(total[offsets[1:]] - total[offsets[:-1]] > -START)
+    gain = best[_keys(points, offsets, symbol, len(steps) // KINDS)].astype(np.float64)
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    starts = offsets[:-1][size > 0]
+    total, swing = np.zeros(len(points) + 1), np.zeros(len(points) + 1)
+    np.cumsum(gain, out=total[1:])
+    gain = np.abs(gain)
+    gain[starts] += START - ENTER
+    np.cumsum(gain, out=swing[1:])
+    lower = (swing[offsets[:-1]] + swing[offsets[1:]])[row]  # puts each row below all that is before it, so that a minimum so far is one of the row
+    before = total[:-1] - lower
+    before[starts] -= START - ENTER
+    gained = total[1:] - lower - np.minimum.accumulate(before)
+    return np.unique(row[gained > -ENTER - 1e-3])
 
 
 def label(points: np.ndarray, offsets: np.ndarray, model: Model, rows: np.ndarray, room: int = 60_000) -> list[tuple[int, int, int, int]]:
     """(row, start, end, pair) of each span outside the clean state, by Viterbi's algorithm over many rows at once."""
-    symbol, gain, _ = model.tables()
-    n = gain.shape[2]
-    flat = gain.reshape(len(gain), -1).T
-    keys = _keys(points, offsets, symbol, n)
+    symbol, flat, _ = model.tables()
+    states = flat.shape[1]
+    keys = _keys(points, offsets, symbol, len(flat) // KINDS)
     size = np.diff(offsets)[rows]
     order = rows[np.argsort(size, kind="stable")]
     out: list[tuple[int, int, int, int]] = []
@@ -287,8 +461,8 @@ def label(points: np.ndarray, offsets: np.ndarray, model: Model, rows: np.ndarra
         key = keys[place]
         inside = np.arange(wide) < length[:, None]
         clean = np.zeros(group)
-        garbled = np.full((group, len(gain)), START)
-        came_in = np.zeros((wide, group, len(gain)), bool)
+        garbled = np.full((group, states), START)
+        came_in = np.zeros((wide, group, states), bool)
         came_out = np.full((wide, group), -1, np.int16)
         for t in range(wide):
             step = flat[key[:, t]]
@@ -324,14 +498,6 @@ def label(points: np.ndarray, offsets: np.ndarray, model: Model, rows: np.ndarra
     return out
 
 
-def train(df: DataFrame, key: str, paragraphs: str, rows: int = SAMPLE) -> Model:
-    """Fitted on about ``rows`` records, chosen by the hash of their key."""
-    share = min(1.0, rows / max(df.count(), 1))
-    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    lists = picked.select(paragraphs).toArrow().column(0).to_pylist()
-    return fit([t for ps in lists for t in ps or []])
-
-
 def garbled_paragraphs(df: DataFrame, key: str, paragraphs: str, model: Model | None = None) -> DataFrame:
     """One row per affected entry of a list of texts: key, para_no (0-based), restored, whole, encodings.
 

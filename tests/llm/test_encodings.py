@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from millrace.llm import encodings as enc
@@ -76,3 +78,41 @@ def test_whole_texts_are_restored(spark, model, texts):
     rows = [("d", texts[1] + "\n" + bad + "\n\n" + texts[2], 1), ("d", texts[1] + "\n" + bad + "\n\n" + texts[2], 1), ("e", None, 2), ("f", texts[3], 3)]
     got = enc.restored_texts(spark.createDataFrame(rows, "doc_id string, raw_text string, own int"), "doc_id", "raw_text", model).collect()
     assert [(r.doc_id, r.restored, r.whole) for r in got] == [("d", texts[1] + "\n" + texts[5] + "\n\n" + texts[2], True)]
+
+
+def test_all_records_are_fitted_on(spark, texts):
+    lists = [(str(n), [f"第{chr(0x5000 + n)}{chr(0x6000 + n)}号", None, "", t]) for n, t in enumerate(texts)] + [("n", None), ("g", [enc.garble(texts[5], ("utf-8", "cp1252", 1)), texts[6]])]
+    df = spark.createDataFrame(lists, "doc_id string, paragraphs array<string>").repartition(5)
+    got, want = enc.train(df, "doc_id", "paragraphs"), enc.fit([t for _, ps in lists for t in ps or []])
+    assert {0x5000 + n for n in range(len(texts))} <= set(got.points.tolist())
+    assert (got.points == want.points).all() and (got.gain == want.gain).all()
+
+
+def test_counts_are_those_of_the_garbled_texts(texts):
+    some = [*texts[:3], *texts[-2:], texts[702], "𠀀é€\U0010ffff", "ｱ\nБ", "末" * (enc.PIECE + 7)]
+    tally = enc.Tally()
+    tally.garbled(some)
+    for k, pair in enumerate(enc.PAIRS):
+        fitting = [t for t in some if pair[0] in ("utf-8", "gb18030") or enc._writable(t, pair[0])]
+        points, offsets = enc._flat([enc.garble("".join(t + "\n" for t in fitting) + enc.AHEAD, pair)[: -len(enc.AHEAD)]])
+        keys, counts = tally.of(1 + k)
+        assert dict(zip(keys.tolist(), counts.tolist())) == Counter(enc._pair_keys(points, offsets).tolist()), pair
+    other = enc.Tally()
+    other.gather(tally.rows())
+    assert all((other.slots[k] == x).all() for k, x in tally.slots.items())
+
+
+def test_rows_that_are_no_suspects_have_no_spans(model, texts):
+    rows = [*texts[:30], "", *(texts[n] + enc.garble(texts[n + 1], pair) for n, pair in enumerate(enc.PAIRS)), "f√ºr", "Café", *(texts[700:720])]
+    flat = enc._flat(rows)
+    every = enc.label(*flat, model, np.arange(len(rows))[np.diff(flat[1]) > 0])
+    assert sorted(every) == sorted(enc.label(*flat, model, enc.suspects(*flat, model))) and every
+
+
+def test_a_large_share_of_garbled_text_is_not_taken_for_clean(spark, texts):
+    """Short entries are found though the long ones garbled alike are in the texts that are fitted on."""
+    pair = ("utf-8", "koi8-r", 1)
+    long = [enc.garble(t, pair) for t in texts[:60]]
+    model = enc.fit([*texts, *long])
+    flat = enc._flat([enc.garble("附则", pair), "附则"])
+    assert {row for row, *_ in enc.label(*flat, model, enc.suspects(*flat, model))} == {0}
